@@ -122,11 +122,11 @@ WITH crc_table AS (
 ), keyed AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size,
     xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
-      lambda a, b: xor(a >> 8, (SELECT tab FROM crc_table)[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc,
+      lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc,
     coalesce(((doc_id % 64) + 64) % 64, 0) AS sub,
     ('0x' || rpad(substr(hex(encode(lang)), 1, 12), 12, '0'))::BIGINT AS klang,
     ('0x' || rpad(substr(hex(encode(source)), 1, 12), 12, '0'))::BIGINT AS ksource, n_chars
-  FROM documents
+  FROM documents, crc_table
 ), ends AS (
   SELECT min(klang) AS l0, max(klang) AS l1, min(ksource) AS s0, max(ksource) AS s1, min(doc_id) AS d0, max(doc_id) AS d1 FROM keyed
 ), binned AS (
@@ -137,9 +137,9 @@ WITH crc_table AS (
     coalesce(least(floor((doc_id::DOUBLE - d0::DOUBLE) / (d1::DOUBLE - d0::DOUBLE + 1.0::DOUBLE) * 16)::INT, 15), 0) AS x3
   FROM keyed, ends
 ), {_hilbert_sql()}, placed AS (
-  SELECT *, row_number() OVER (ORDER BY curve, sub, doc_id NULLS FIRST, crc, size) - 1 AS at, count(*) OVER () AS n FROM curved
-), cut AS (SELECT *, (at * 16 // n)::INT AS shard FROM placed)
-SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard, (at - (shard * n + 15) // 16)::BIGINT AS slot,
+  SELECT *, row_number() OVER (ORDER BY curve, sub, doc_id NULLS FIRST, crc, size) - 1 AS place, count(*) OVER () AS n FROM curved
+), cut AS (SELECT *, (place * 16 // n)::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard, (place - (shard * n + 15) // 16)::BIGINT AS slot,
   NULL::INT AS grown_shard, curve
 FROM cut
 """
