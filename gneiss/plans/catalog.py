@@ -452,7 +452,7 @@ v AS (SELECT k, dim, sum(s)::DOUBLE AS x FROM h GROUP BY k, dim)"""
     + """, qw AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark WHERE item_id = 0),
 q AS (SELECT (('0x' || substr(md5(t), 1, 8))::BIGINT % 64)::INT AS dim, sum(CASE WHEN ('0x' || substr(md5(t), 9, 1))::INT % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS y FROM qw GROUP BY 1),
 n AS (SELECT k, sum(x * x) AS nx FROM v GROUP BY k)
-SELECT n.k AS doc_id, round(coalesce(sum(x * y), 0) / (sqrt(nx) * sqrt((SELECT sum(y * y) FROM q))), 5) AS score FROM n LEFT JOIN (SELECT * FROM v JOIN q USING (dim)) p ON p.k = n.k
+SELECT n.k AS doc_id, round(coalesce(sum(x * y), 0) / (sqrt(nx) * sqrt((SELECT sum(y * y) FROM q))), 6) AS score FROM n LEFT JOIN (SELECT * FROM v JOIN q USING (dim)) p ON p.k = n.k
 WHERE nx > 0 GROUP BY n.k, nx ORDER BY score DESC, doc_id LIMIT 10"""
 )
 def hash_embed_search(spark, d):
@@ -460,7 +460,7 @@ def hash_embed_search(spark, d):
     text = table(spark, d, "benchmark").filter("item_id = 0").select("text")
     wanted = hash_vectors(text, "text", 64).first()["vector"]
     hits = search.scored(docs.select("id", "vector"), list(wanted))
-    return hits.select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(10)
+    return hits.select(F.col("id").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(10)
 
 
 def _code_rows(spark, suffix):
