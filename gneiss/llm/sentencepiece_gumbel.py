@@ -4,7 +4,8 @@ A text's segmentations are the paths of a lattice whose arcs are vocabulary piec
 byte pieces of a character that no piece covers). An arc of the piece with rank r weighs
 (r + 2) ** -alpha, r being the negated score in a BPE model, and a path has the product of
 its arcs' weights as its unnormalised probability. No piece crosses from a letter to a word
-mark, so the lattice is a chain of small lattices, one for each unit "marks + letters".
+mark, and two characters side by side in no piece are always apart, so the lattice is a chain
+of small lattices, one for each unit (about a word).
 
 Sampling without replacement is a best-first (A*) search over sets of paths: a set with log
 probability phi has the Gumbel(phi) maximum of its members as its priority. Popping a set
@@ -30,7 +31,6 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ MARK = "▁"
 ALPHA = 1.5
 SAMPLES = 3
 #: Arcs that a worker remembers before it starts anew.
-MEMO = 4_000_000
+MEMO = 8_000_000
 _TINY = 1e-12
 _U64 = np.uint64
 
@@ -65,6 +65,17 @@ def _at(start, place, step: int = 0) -> np.ndarray:
         return _mix(start + (place.astype(_U64) << _U64(20)) + _U64(step) * _U64(0x9E3779B97F4A7C15))
 
 
+def _ramp(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... anew for each size."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _numbers(start):
+    """A stream of numbers of its own for a start."""
+    for i in itertools.count():
+        yield from _at(start ^ _U64(1 << 63), np.arange(i * 32, i * 32 + 32)).tolist()
+
+
 class Lattices:
     """The lattices of a list of units, as flat arrays over all their arcs."""
 
@@ -121,11 +132,10 @@ class Lattices:
             top = np.maximum.reduceat(x, head)
             x = np.exp(x - np.repeat(top, np.diff(np.append(head, len(x)))))
             mass[here[head]] = top + np.log(np.add.reduceat(x, head))
-        self.log = np.minimum(weight + mass[self.to] - mass[node[start]], 0.0)
-        self.prob = np.exp(self.log)
+        self.prob = np.exp(np.minimum(weight + mass[self.to] - mass[node[start]], 0.0))
         self.arcs = np.append(0, np.cumsum(np.bincount(node[start], minlength=nodes)))
 
-    FIELDS = (("first", np.int64), ("last", np.int64), ("to", np.int32), ("piece", np.int32), ("log", np.float64), ("prob", np.float64))
+    FIELDS = (("first", np.int64), ("last", np.int64), ("to", np.int32), ("piece", np.int32), ("prob", np.float64))
 
     @classmethod
     def pool(cls, tables) -> "Lattices":
@@ -141,7 +151,7 @@ class Lattices:
     def _append(self, name: str, values: np.ndarray) -> None:
         n, room = self.used[name], self.room[name]
         if n + len(values) > len(room):
-            grown = np.zeros(max(4096, 2 * (n + len(values))), room.dtype)
+            grown = np.zeros(max(4096, 3 * (n + len(values)) // 2), room.dtype)
             grown[:n] = room[:n]
             room = self.room[name] = grown
         room[n : n + len(values)] = values
@@ -164,6 +174,7 @@ class Lattices:
             lo, hi = self.arcs[here], self.arcs[here + 1]
             arc = lo.copy()
             many = np.flatnonzero(hi - lo > 1)
+            picked = many
             if len(many):
                 u = _at(start[live[many]], place[live[many]], step)
                 at, end = lo[many], hi[many] - 1
@@ -172,7 +183,7 @@ class Lattices:
                     on = np.flatnonzero((u >= 0) & (at < end))
                     arc[many] = at
                     many, at, end, u = many[on], at[on] + 1, end[on], u[on]
-            log[live] += self.log[arc]
+            log[live[picked]] += np.log(np.maximum(self.prob[arc[picked]], 1e-300))
             steps.append(self.piece[arc])
             owners.append(live)
             node[live] = self.to[arc]
@@ -192,9 +203,10 @@ class Lattices:
             for a in range(int(self.arcs[at]), int(self.arcs[at + 1])):
                 j, new = int(self.to[a]), (*ids, int(self.piece[a]))
                 here = [t for t in left if t[0][: len(new)] == new]
-                rest = math.exp(log + self.log[a]) - sum(math.exp(t[1]) for t in here)
+                then = log + math.log(max(self.prob[a], 1e-300))
+                rest = math.exp(then) - sum(math.exp(t[1]) for t in here)
                 if rest > _TINY * 1e-3 and not (j == stop and here):
-                    options.append((rest, j, log + float(self.log[a]), new, here))
+                    options.append((rest, j, then, new, here))
             u = next(numbers) * sum(o[0] for o in options)
             for rest, j, then, new, here in options:
                 if u < rest:
@@ -247,44 +259,38 @@ class _Text:
         self.stream += 1
         return -value, parent, at, taken
 
-    def put(self, lattices: Lattices, job, pieces, sizes, log, k: int) -> None:
+    def put(self, job, pieces, ends, before, log, place_at, bound, k: int) -> None:
+        """Adds the path drawn for a job and the sets that it leaves (places and bounds)."""
         value, parent, at, taken = job
-        start = _start(self.key, self.stream)
-        if taken:
-            numbers = (float(x) for i in itertools.count() for x in _at(start ^ _U64(1 << 63), np.arange(i * 32, i * 32 + 32)))
-            ids, first = lattices.other(int(self.units[at]), taken, numbers)
-            pieces, sizes, log = np.append(ids, pieces), np.append(len(ids), sizes), np.append(first, log)
-        phi = float(parent.log[at]) if parent else 0.0
-        before = phi + np.append(0.0, np.cumsum(log))
-        rest = -np.expm1(log)
-        if taken:
-            rest[0] -= sum(math.exp(t[1]) for t in taken)
-        ends = np.append(0, np.cumsum(sizes))
         if parent:
             done = int(parent.ends[at])
-            path = _Path(np.append(parent.pieces[:done], pieces), np.append(parent.ends[:at], done + ends), np.append(parent.log[:at], before), value)
+            path = _Path(np.concatenate([parent.pieces[:done], pieces]), np.concatenate([parent.ends[:at], done + ends]), np.concatenate([parent.log[:at], before]), value)
         else:
             path = _Path(pieces, ends, before, value)
         self.out.append(path)
-        open_at = np.flatnonzero(rest > _TINY)
-        place = before[open_at] + np.log(rest[open_at])
-        noise = np.log(_at(start ^ _U64(1 << 62), open_at))
-        bound = place - np.log(np.exp(np.minimum(place - value, 700.0)) - noise)
         if len(bound) > k:
             best = np.argpartition(-bound, k)[: k + 1]
-            open_at, bound = open_at[best], bound[best]
-        for i, g in zip(open_at.tolist(), bound.tolist(), strict=True):
+            place_at, bound = place_at[best], bound[best]
+        for i, g in zip(place_at.tolist(), bound.tolist(), strict=True):
             self.order += 1
-            gone = (tuple(int(x) for x in pieces[ends[i] : ends[i + 1]]), float(log[i]))
+            gone = (tuple(pieces[ends[i] : ends[i + 1]].tolist()), float(log[i]))
             heapq.heappush(self.queue, (-g, self.order, path, at + i, [*(taken if not i else []), gone]))
 
 
+class _Index(dict):
+    """Numbers for units in the order in which they are met."""
+
+    def __missing__(self, unit):
+        self[unit] = n = len(self)
+        return n
+
+
 class GumbelSampler:
     """Encodes, samples and decodes with a SentencePiece model file."""
 
     def __init__(self, path: str, alpha: float = ALPHA):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.sp, weight, byte, self.surface = sp, {}, {}, {}
+        self.sp, weight, byte, self.surface = sp, {}, {}, [b""] * sp.get_piece_size()
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -312,21 +318,30 @@ class GumbelSampler:
         keys = np.array(sorted(begins), _U64)
         byte_log = -alpha * math.log(2 + sp.get_piece_size())
         self.tables = _Tables(keys, np.array([begins[int(h)] for h in keys], np.int64), log_weight, byte_log, byte)
-        self.index: dict[str, int] = {}
+        self.index = _Index()
         self.lattices = Lattices.pool(self.tables)
         self.ascii = np.array([byte[i] for i in range(128)], np.int64)
-        # A character inside no longer piece is a unit of its own: nothing crosses its edges.
-        inside = [ord(c) for c in sorted({c for p in weight if len(p) > 1 for c in p} - {MARK})]
-        runs, at = [], 0
-        for i in range(1, len(inside) + 1):
-            if i == len(inside) or inside[i] != inside[i - 1] + 1:
-                runs.append(f"{re.escape(chr(inside[at]))}-{re.escape(chr(inside[i - 1]))}")
-                at = i
-        self.split = regex.compile(f"{MARK}*[{''.join(runs)}]+|{MARK}+|[^{MARK}]").findall
+        # Two characters that stand side by side in no piece are always cut apart.
+        pairs = {(ord(x) << 21) | ord(y) for p in weight for x, y in zip(p, p[1:])}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.low = np.zeros((512, 512), bool)
+        for x in pairs:
+            if x >> 21 < 512 and x & 0x1FFFFF < 512:
+                self.low[x >> 21, x & 0x1FFFFF] = True
 
     def units(self, text: str) -> list[str]:
         """The units of the text as the model's lattice sees it, one word mark in front."""
-        return self.split(self.sp.normalize(text))
+        plain = self.sp.normalize(text)
+        code = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        x, y = code[:-1], code[1:]
+        joined = self.low[np.minimum(x, 511), np.minimum(y, 511)]
+        wide = np.flatnonzero((x > 510) | (y > 510))
+        if len(wide):
+            key = (x[wide] << 21) | y[wide]
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            joined[wide] = self.pairs[at] == key
+        cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(plain)]
+        return [plain[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def decode(self, ids) -> str:
         """The text that the pieces spell, without the space put in front of it."""
@@ -337,23 +352,53 @@ class GumbelSampler:
         """For each text up to k distinct segmentations, best perturbed value first: (piece
         ids, log probability, perturbed log probability, inclusion score)."""
         if len(self.lattices.to) > MEMO:
-            self.index, self.lattices = {}, Lattices.pool(self.tables)
+            self.index, self.lattices = _Index(), Lattices.pool(self.tables)
         index, lattices, known = self.index, self.lattices, len(self.index)
-        split = [[index.setdefault(x, len(index)) for x in self.units(t)] if t else [] for t in texts]
+        split = [list(map(index.__getitem__, self.units(t))) if t else [] for t in texts]
         if len(index) > known:
             lattices.add(list(itertools.islice(index, known, None)))
         all_texts = [_Text(np.array(u, np.int64), key) for u, key in zip(split, keys, strict=True)]
         while jobs := [(t, job) for t in all_texts if len(t.units) and (job := t.pop(k))]:
             cuts = [job[2] + bool(job[3]) for _, job in jobs]
-            sizes = [len(t.units) - c for (t, _), c in zip(jobs, cuts, strict=True)]
+            sizes = np.array([len(t.units) - c for (t, _), c in zip(jobs, cuts, strict=True)])
             units = np.concatenate([t.units[c:] for (t, _), c in zip(jobs, cuts, strict=True)])
-            start = np.repeat(np.array([_start(t.key, t.stream) for t, _ in jobs], _U64), sizes)
-            place = np.concatenate([np.arange(c, c + n) for c, n in zip(cuts, sizes, strict=True)])
-            pieces, lens, log = lattices.draw(units, start, place)
-            ends, at = np.append(0, np.cumsum(lens)), 0
-            for (t, job), n in zip(jobs, sizes, strict=True):
-                t.put(lattices, job, pieces[ends[at] : ends[at + n]], lens[at : at + n], log[at : at + n], k)
-                at += n
+            starts = np.array([_start(t.key, t.stream) for t, _ in jobs], _U64)
+            place = _ramp(sizes) + np.repeat(np.array(cuts), sizes)
+            pieces, lens, log = lattices.draw(units, np.repeat(starts, sizes), place)
+            # A popped set begins with another path of its unit; put those in front.
+            front = np.array([bool(job[3]) for _, job in jobs])
+            if front.any():
+                others = [lattices.other(int(t.units[job[2]]), job[3], _numbers(starts[i])) if job[3] else ((), 0.0) for i, (t, job) in enumerate(jobs)]
+                head = np.cumsum(sizes) - sizes
+                where = head[front]
+                ends = np.append(0, np.cumsum(lens))
+                ids = [np.array(o[0], pieces.dtype) for o in others]
+                parts = [x for i, n in enumerate(sizes) for x in (ids[i], pieces[ends[head[i]] : ends[head[i] + n]])]
+                pieces = np.concatenate(parts)
+                lens = np.insert(lens, where, [len(o[0]) for o, f in zip(others, front, strict=True) if f])
+                log = np.insert(log, where, [o[1] for o, f in zip(others, front, strict=True) if f])
+                sizes = sizes + front
+            rest = -np.expm1(log)
+            head = np.cumsum(sizes) - sizes
+            for i in np.flatnonzero(front).tolist():
+                rest[head[i]] -= sum(math.exp(x[1]) for x in jobs[i][1][3])
+            phi = np.array([float(job[1].log[job[2]]) if job[1] else 0.0 for _, job in jobs])
+            total = np.append(0.0, np.cumsum(log))
+            before = total[:-1] - np.repeat(total[head] - phi, sizes)
+            opened = np.flatnonzero(rest > _TINY)
+            owner = np.repeat(np.arange(len(jobs)), sizes)[opened]
+            local = opened - head[owner]
+            spot = before[opened] + np.log(rest[opened])
+            noise = np.log(_at((starts ^ _U64(1 << 62))[owner], local))
+            values = np.array([job[0] for _, job in jobs])[owner]
+            bound = spot - np.log(np.exp(np.minimum(spot - values, 700.0)) - noise)
+            edge = np.searchsorted(owner, np.arange(len(jobs) + 1))
+            ends = np.append(0, np.cumsum(lens))
+            for i, (t, job) in enumerate(jobs):
+                a, n = int(head[i]), int(sizes[i])
+                own = ends[a : a + n + 1]
+                b = np.append(before[a : a + n], total[a + n] - total[a] + phi[i])
+                t.put(job, pieces[own[0] : own[-1]], own - own[0], b, log[a : a + n], local[edge[i] : edge[i + 1]], bound[edge[i] : edge[i + 1]], k)
         return [
             [(self._ids(p.pieces), float(p.log[-1]), p.value, 1.0 if t.kappa == -math.inf else -math.expm1(-math.exp(min(700.0, p.log[-1] - t.kappa)))) for p in t.out]
             if len(t.units)

@@ -244,7 +244,7 @@ def all_paths(s, text):
             if at == lat.last[u]:
                 found.append((ids, math.exp(log)))
             else:
-                todo += [(int(lat.to[a]), log + lat.log[a], (*ids, int(lat.piece[a]))) for a in range(lat.arcs[at], lat.arcs[at + 1])]
+                todo += [(int(lat.to[a]), log + math.log(lat.prob[a]), (*ids, int(lat.piece[a]))) for a in range(lat.arcs[at], lat.arcs[at + 1])]
         per_unit.append(found)
     return {sum((x[0] for x in combo), ()): math.prod(x[1] for x in combo) for combo in itertools.product(*per_unit)}
 
