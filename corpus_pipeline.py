@@ -12,8 +12,9 @@ from gneiss.llm import benchmark_tiling, language_id, ngram_join, sentencepiece_
 from gneiss.llm.common import cut
 from gneiss.llm.registry import table, tokenizer_path
 
-#: A text in no learned language has a low cosine with every prototype.
-MIN_LANGUAGE_SCORE = 0.15
+#: A text in no learned language has a cosine near nothing with every prototype; a text of one
+#: or two words in a learned one has about 0.1.
+MIN_LANGUAGE_SCORE = 0.02
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
