@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from gneiss.llm.common import col, expand_rows, words_of
 
 MIN_MATCH = 5
-COVERAGE = 0.6
+COVERAGE = 0.5
 #: Words of benchmark items that one pass holds in each worker.
 MAX_WORDS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
