@@ -1,12 +1,12 @@
 """Operator 5: toxicity by the nearest labelled examples.
 
-Vocabulary: words whose presence is linked with the label by a chi-square test over a
-bounded sample of labelled texts. Vectors: (1 + ln tf) * idf over that vocabulary, with
+Vocabulary: words and beginnings of words (a stem with any ending) whose presence is linked
+with the label by a chi-square test over a bounded sample of labelled texts. Vectors: (1 + ln tf) * idf over that vocabulary, with
 document frequencies counted over every text of the table. The examples stand in an inverted
 index cut into blocks; each posting block keeps its largest weight, so a search visits blocks
 in order of their upper bound and stops when no block can reach the k-th best cosine: the
-neighbours are exact, and all that tie with the k-th are kept. They vote with the square of
-their cosine, shrunk towards the base rate, and the vote is mapped to a probability by
+neighbours are exact, and all that tie with the k-th are kept. They vote with the fourth power
+of their cosine, shrunk towards the base rate, and the vote is mapped to a probability by
 isotonic regression over leave-one-out votes of the examples.
 
 Null, empty or wholly unknown texts have no vector and get the rate of examples without one.
@@ -28,29 +28,79 @@ from gneiss.llm.common import col, expand_rows, id_remainder, map_rows, words_of
 #: Labelled texts that examples and vocabulary are taken from at most.
 MAX_EXAMPLES = 6_000
 MAX_VOCABULARY = 2_000
+#: Bytes of the beginnings of words that are terms, too.
+STEMS = range(3, 10)
 MIN_CHI2 = 30.0
 MIN_DF = 4
+#: The toxic share that a term's texts have at least, as the lower end of its interval.
+MIN_RATE = 0.35
 NEIGHBOURS = 25
 BLOCK = 64
-PRIOR = 0.5
+PRIOR = 0.02
 THRESHOLD = 0.7
 
 
+def word_terms(word: bytes) -> list[bytes]:
+    """A word and its beginnings, each of these marked with a star."""
+    return [word, *[word[:n] + b"*" for n in STEMS if n < len(word)]]
+
+
+class TermIndex(dict):
+    """Words to the numbers of their known terms, remembered for a bounded number of words."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word):
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = ids = tuple(self.known[t] for t in word_terms(word) if t in self.known)
+        return ids
+
+    def count(self, text: str | None) -> Counter:
+        """How often each known term occurs in a text."""
+        found = Counter()
+        for ids in map(self.__getitem__, words_of(text)):
+            if ids:
+                found.update(ids)
+        return found
+
+
 def chi2_vocabulary(texts: list[str | None], labels: list[int]) -> list[bytes]:
-    """Words whose presence depends on the label, strongest first, ties by the word."""
+    """Terms that mark toxic texts, strongest first, ties by the term."""
     df = [Counter(), Counter()]
     n = [0, 0]
     for t, y in zip(texts, labels, strict=True):
         n[y] += 1
-        df[y].update(set(words_of(t)))
-    total, scored = sum(n), []
-    for w, a in {**df[0], **df[1]}.items():
+        df[y].update({x for w in set(words_of(t)) for x in word_terms(w)})
+    total, strength = sum(n), {}
+    for w in {**df[0], **df[1]}:
         a, b = df[1][w], df[0][w]
         c, d = n[1] - a, n[0] - b
         down = (a + b) * (c + d) * (a + c) * (b + d)
-        if a + b >= MIN_DF and down and (x := total * (a * d - b * c) ** 2 / down) >= MIN_CHI2:
-            scored.append((-x, w))
-    return [w for _, w in sorted(scored)[:MAX_VOCABULARY]]
+        if a + b >= MIN_DF and down and (x := total * (a * d - b * c) ** 2 / down) >= MIN_CHI2 and _at_least(a, a + b) >= MIN_RATE:
+            strength[w] = x
+    # A longer term that stands in just the same texts as a shorter one adds nothing, and a
+    # shorter one that loses strength mixes families of words.
+    longer: dict[bytes, float] = {}
+    for w, x in strength.items():
+        for t in _shorter(w):
+            longer[t] = max(x, longer.get(t, 0.0))
+    same = lambda w, t: t in strength and (df[0][t], df[1][t]) == (df[0][w], df[1][w])
+    best = [(-x, w) for w, x in strength.items() if longer.get(w, 0.0) <= x and not any(same(w, t) for t in _shorter(w))]
+    return [w for _, w in sorted(best)[:MAX_VOCABULARY]]
+
+
+def _at_least(hits: int, n: int) -> float:
+    """The lower end of the rate's 95 % Wilson interval."""
+    z, p = 1.96, hits / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _shorter(term: bytes) -> list[bytes]:
+    bare = term[:-1] if term.endswith(b"*") else term
+    return [bare[:n] + b"*" for n in STEMS if n < len(bare)]
 
 
 @dataclass
@@ -67,10 +117,9 @@ class Examples:
     empty_rate: float
     steps: tuple[np.ndarray, np.ndarray]
 
-    def vector(self, words: list[bytes]) -> tuple[tuple[int, int], ...]:
-        """(term, tf) pairs of the known words, in order of the terms."""
-        known = self.terms
-        return tuple(sorted(Counter(known[w] for w in words if w in known).items()))
+    def vector(self, text: str | None, index: TermIndex | None = None) -> tuple[tuple[int, int], ...]:
+        """(term, tf) pairs of the known terms, in order of the terms."""
+        return tuple(sorted((index or TermIndex(self.terms)).count(text).items()))
 
     def neighbours(self, vector, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Indices and cosines of the k nearest examples and all that tie with the k-th."""
@@ -103,7 +152,7 @@ class Examples:
 
     def vote(self, vector, skip: int = -1) -> tuple[float, list[int]]:
         i, c = self.neighbours(vector, skip)
-        w = c**2
+        w = c**4
         raw = (float(w @ self.labels[i]) + PRIOR * self.base) / (float(w.sum()) + PRIOR)
         return raw, self.ids[i[:5]].tolist()
 
@@ -134,16 +183,16 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class _DocumentFrequency:
     def __init__(self, terms):
-        self.terms, self.df, self.n = terms, Counter(), 0
+        self.index, self.df, self.n = TermIndex(terms), Counter(), 0
 
     def __call__(self, texts):
         for t in texts:
-            self.df.update(self.terms.keys() & set(words_of(t)))
+            self.df.update(self.index.count(t).keys())
         self.n += len(texts)
         return [], []
 
     def finish(self):
-        pairs = [(self.terms[w], n) for w, n in self.df.items()] + [(-1, self.n)]
+        pairs = [*self.df.items(), (-1, self.n)]
         return [p[0] for p in pairs], [p[1] for p in pairs]
 
 
@@ -181,7 +230,8 @@ def fit(
         idf = np.array([math.log((1 + df_of.get(-1, 0)) / (1 + df_of.get(i, 0))) + 1 for i in range(len(terms))])
     base = float(y.mean()) if len(y) else 0.0
     model = Examples(terms, idf, np.zeros(0, np.int64), y[:0], np.zeros((0, len(terms))), np.zeros((len(terms), 0)), base, base, (np.zeros(0), np.zeros(0)))
-    vectors = [model.vector(words_of(t)) for t in texts]
+    index = TermIndex(terms)
+    vectors = [model.vector(t, index) for t in texts]
     has = [i for i, v in enumerate(vectors) if v]
     without = np.array([not v for v in vectors], bool)
     if without.any():
@@ -217,13 +267,14 @@ def score(
 
     def factory():
         m, memo = shared.value, {}
+        index = TermIndex(m.terms)
 
         def fn(texts):
             if len(memo) > 50_000:
                 memo.clear()
             out = []
             for t in texts:
-                v = m.vector(words_of(t))
+                v = m.vector(t, index)
                 if v not in memo:
                     memo[v] = m.score(v)
                 out.append(memo[v])
