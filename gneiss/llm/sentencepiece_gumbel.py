@@ -41,8 +41,9 @@ from gneiss.llm.common import col, expand_rows, map_rows
 MARK = "▁"
 ALPHA = 1.5
 SAMPLES = 3
-#: Arcs that a worker remembers before it starts anew.
-MEMO = 8_000_000
+#: Arcs that a worker remembers before it starts anew, and characters worked on at once.
+MEMO = 4_000_000
+CHARS = 400_000
 _TINY = 1e-12
 _U64 = np.uint64
 
@@ -351,6 +352,15 @@ class GumbelSampler:
     def sample(self, texts: list[str], keys: list[int], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k distinct segmentations, best perturbed value first: (piece
         ids, log probability, perturbed log probability, inclusion score)."""
+        out, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size > CHARS or i + 1 == len(texts):
+                out += self._sample(texts[first : i + 1], keys[first : i + 1], k)
+                first, size = i + 1, 0
+        return out
+
+    def _sample(self, texts, keys, k):
         if len(self.lattices.to) > MEMO:
             self.index, self.lattices = _Index(), Lattices.pool(self.tables)
         index, lattices, known = self.index, self.lattices, len(self.index)
