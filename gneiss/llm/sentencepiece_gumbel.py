@@ -29,6 +29,7 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from operator import itemgetter
 
 import numpy as np
 import sentencepiece
@@ -44,6 +45,7 @@ SAMPLES = 3
 #: Arcs that a worker remembers before it starts anew, and characters worked on at once.
 MEMO = 4_000_000
 CHARS = 400_000
+REDRAWS = 3
 _TINY = 1e-12
 _U64 = np.uint64
 
@@ -103,7 +105,8 @@ class Lattices:
             if not step and (bare := live[piece < 0]).size:
                 starts.append(bare)
                 ends.append(node[bare] + 1)
-                pieces.append(-2 - data[bare].astype(np.int64))
+                point = data[bare].astype(np.int64)
+                pieces.append(np.where(point < 128, tables.ascii[np.minimum(point, 127)], -2 - point))
             hit = piece >= 0
             step += 1
             starts.append(live[hit])
@@ -116,7 +119,7 @@ class Lattices:
         start, end, self.piece = np.concatenate(starts), np.concatenate(ends), np.concatenate(pieces)
         order = np.lexsort((-end, start))  # the longest piece, mostly the likeliest, comes first
         start, self.to, self.piece = start[order], end[order], self.piece[order]
-        weight = np.where(self.piece >= 0, tables.log_weight[self.piece], 0.0)
+        weight = np.where(self.piece >= 0, tables.log_weight[self.piece], 0.0)  # byte pieces have theirs, too
         for i in np.flatnonzero(self.piece < 0).tolist():
             weight[i] = tables.byte_log * len(tables.bytes_of(int(self.piece[i])))
         # Log masses from each position to its unit's end, the nearest positions first.
@@ -226,6 +229,7 @@ class _Tables:
     log_weight: np.ndarray
     byte_log: float
     byte: dict[int, int]
+    ascii: np.ndarray
     factor: np.uint64 = _U64(0x9E3779B97F4A7C15)
 
     def bytes_of(self, piece: int) -> tuple[int, ...]:
@@ -305,6 +309,9 @@ class GumbelSampler:
         log_weight = np.zeros(sp.get_piece_size())
         for i in weight.values():
             log_weight[i] = -alpha * math.log(2 - sp.get_score(i))
+        for i in byte.values():
+            log_weight[i] = -alpha * math.log(2 + sp.get_piece_size())
+        ascii_ids = np.array([byte[i] for i in range(128)], np.int64)
         factor = int(_Tables.factor)
         begins: dict[int, int] = {}
         seen: dict[int, str] = {}
@@ -318,10 +325,9 @@ class GumbelSampler:
             begins[h] = i
         keys = np.array(sorted(begins), _U64)
         byte_log = -alpha * math.log(2 + sp.get_piece_size())
-        self.tables = _Tables(keys, np.array([begins[int(h)] for h in keys], np.int64), log_weight, byte_log, byte)
+        self.tables = _Tables(keys, np.array([begins[int(h)] for h in keys], np.int64), log_weight, byte_log, byte, ascii_ids)
         self.index = _Index()
         self.lattices = Lattices.pool(self.tables)
-        self.ascii = np.array([byte[i] for i in range(128)], np.int64)
         # Two characters that stand side by side in no piece are always cut apart.
         pairs = {(ord(x) << 21) | ord(y) for p in weight for x, y in zip(p, p[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
@@ -346,7 +352,7 @@ class GumbelSampler:
 
     def decode(self, ids) -> str:
         """The text that the pieces spell, without the space put in front of it."""
-        out = b"".join(map(self.surface.__getitem__, ids))
+        out = b"".join(itemgetter(*ids)(self.surface)) if len(ids) > 1 else b"".join(self.surface[i] for i in ids)
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
 
     def sample(self, texts: list[str], keys: list[int], k: int = SAMPLES) -> list[list[tuple[np.ndarray, float, float, float]]]:
@@ -378,7 +384,7 @@ class GumbelSampler:
             # A popped set begins with another path of its unit; put those in front.
             front = np.array([bool(job[3]) for _, job in jobs])
             if front.any():
-                others = [lattices.other(int(t.units[job[2]]), job[3], _numbers(starts[i])) if job[3] else ((), 0.0) for i, (t, job) in enumerate(jobs)]
+                others = self._others(jobs, starts)
                 head = np.cumsum(sizes) - sizes
                 where = head[front]
                 ends = np.append(0, np.cumsum(lens))
@@ -416,10 +422,32 @@ class GumbelSampler:
             for t in all_texts
         ]
 
+    def _others(self, jobs, starts) -> list[tuple[tuple[int, ...], float]]:
+        """For each job another path of its unit: a few joint draws, then those still unlucky
+        are drawn from what is left. Either way the draw has the same distribution."""
+        lattices, out = self.lattices, [((), 0.0)] * len(jobs)
+        todo = [i for i, (_, job) in enumerate(jobs) if job[3]]
+        for attempt in range(REDRAWS):
+            if not todo:
+                break
+            units = np.array([jobs[i][0].units[jobs[i][1][2]] for i in todo])
+            pieces, lens, log = lattices.draw(units, starts[todo] ^ _U64(1 << 61), np.full(len(todo), attempt))
+            ends, left = np.append(0, np.cumsum(lens)).tolist(), []
+            flat = pieces.tolist()
+            for n, i in enumerate(todo):
+                ids = tuple(flat[ends[n] : ends[n + 1]])
+                if any(ids == t[0] for t in jobs[i][1][3]):
+                    left.append(i)
+                else:
+                    out[i] = ids, float(log[n])
+            todo = left
+        for i in todo:
+            t, job = jobs[i]
+            out[i] = lattices.other(int(t.units[job[2]]), job[3], _numbers(starts[i]))
+        return out
+
     def _ids(self, pieces: np.ndarray) -> np.ndarray:
-        if len(pieces) and (low := int(pieces.min())) < 0:
-            if low >= -2 - 127:
-                return np.where(pieces < 0, self.ascii[np.clip(-2 - pieces, 0, 127)], pieces).astype("<i4")
+        if len(pieces) and pieces.min() < 0:
             return np.array([x for p in pieces.tolist() for x in ((p,) if p >= 0 else self.tables.bytes_of(p))], "<i4")
         return pieces.astype("<i4")
 
