@@ -56,18 +56,18 @@ def hilbert(df: DataFrame, coordinates: list[Column], name: str, bits: int = BIT
     """``df`` with the Hilbert index of the coordinates (each under 2**bits) as ``name``."""
     n, top = len(coordinates), 1 << (bits - 1)
     q, at = f"shiftright({top}, cast(s div {n} as int))", f"cast(s % {n} as int)"
-    turn = f"""aggregate(sequence(0, {n * (bits - 1) - 1}), _x, (x, s) -> transform(x, (v, j) -> CASE
+    turn = f"""aggregate(sequence(0, {n * (bits - 1) - 1}), x, (x, s) -> transform(x, (v, j) -> CASE
         WHEN (x[{at}] & {q}) <> 0 THEN IF(j = 0, v ^ ({q} - 1), v)
         WHEN j = 0 OR j = {at} THEN v ^ ((x[0] ^ x[{at}]) & ({q} - 1))
-        ELSE v END))"""
-    gray = ", ".join(" ^ ".join(f"_x[{j}]" for j in range(i + 1)) for i in range(n))
-    flip = " ^ ".join(f"IF((_x[{n - 1}] & {1 << k}) <> 0, {(1 << k) - 1}, 0)" for k in range(bits - 1, 0, -1)) or "0"
-    index = " + ".join(f"shiftleft(cast(shiftright(_x[{i}] ^ _t, {b}) & 1 as bigint), {b * n + n - 1 - i})" for b in range(bits) for i in range(n))
-    out = df.withColumn("_x", F.array(*coordinates))
-    if bits > 1:
-        out = out.withColumn("_x", F.expr(turn))
-    out = out.withColumn("_x", F.expr(f"array({gray})")).withColumn("_t", F.expr(flip))
-    return out.withColumn(name, F.expr(index)).drop("_x", "_t")
+        ELSE v END))""" if bits > 1 else "x"
+    gray = "transform(x, (v, i) -> aggregate(slice(x, 1, i + 1), 0, (a, b) -> a ^ b))"
+    flip = f"aggregate(sequence(0, {bits - 1}), 0, (t, k) -> IF((x[{n - 1}] & shiftleft(1, k)) <> 0, t ^ (shiftleft(1, k) - 1), t))"
+    index = f"aggregate(sequence(0, {n * bits - 1}), 0L, (a, k) -> a * 2 + (shiftright(x[cast(k % {n} as int)] ^ t, {bits - 1} - cast(k div {n} as int)) & 1))"
+    # Each step names its input once, as the one element of an array, so the plan stays small.
+    whole = f"""transform(array(_x), x -> {turn})"""
+    whole = f"transform({whole}, x -> {gray})"
+    whole = f"transform({whole}, x -> transform(array({flip}), t -> {index})[0])[0]"
+    return df.withColumn("_x", F.array(*coordinates)).withColumn(name, F.expr(whole)).drop("_x")
 
 
 def shard(
