@@ -5,23 +5,35 @@ read again as the next stage's docs. All but the last keep the columns of docume
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm import benchmark_tiling, language_id, ngram_join, sentencepiece_gumbel, toxicity
 from gneiss.llm.common import cut
 from gneiss.llm.registry import table, tokenizer_path
 
-#: A text in no learned language has a cosine near nothing with every prototype; a text of one
-#: or two words in a learned one has about 0.1.
+#: The least cosine of the shortest texts: a word in a learned language may have hardly more.
 MIN_LANGUAGE_SCORE = 0.02
+#: The least cosine of texts with many trigrams. The best of all prototypes has 0.03 to 0.1 by
+#: chance with a text in no learned language, however long it is.
+LONG_LANGUAGE_SCORE = 0.15
+#: Trigrams up to which the first bound holds, and from which the second; between them it rises evenly.
+FEW_TRIGRAMS, MANY_TRIGRAMS = 6, 60
+
+
+def least_score(text: Column) -> Column:
+    """The cosine that a text needs, by the trigrams in its distinct words."""
+    words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), " "))
+    rise = (F.length(F.array_join(words, " ")) - FEW_TRIGRAMS) / (MANY_TRIGRAMS - FEW_TRIGRAMS)
+    return F.greatest(F.lit(MIN_LANGUAGE_SCORE), F.least(F.lit(LONG_LANGUAGE_SCORE), LONG_LANGUAGE_SCORE * rise))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the texts that are in a learned language; letterless and null texts go."""
     profiles = language_id.fit(language_id.training_fold(table(spark, sf_dir, "documents")))
     scored = language_id.predict(docs, profiles, keep=tuple(docs.columns))
-    return scored.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    enough = (F.col("score") >= LONG_LANGUAGE_SCORE) | (F.col("score") >= least_score(F.col("text")))
+    return scored.filter((F.col("lang_pred") != "und") & enough).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

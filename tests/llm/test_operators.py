@@ -412,6 +412,18 @@ def test_pipeline_stages(spark, sf_dir):
     assert out.select("doc_id").distinct().count() == kept.filter("text is not null").select("doc_id").distinct().count()
 
 
+def test_pipeline_drops_long_texts_in_no_learned_language(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    foreign = [" ".join("".join(chr(rng.randint(lo, hi)) for _ in range(rng.randint(2, 9))) for _ in range(60)) for lo, hi in [(0x430, 0x44F), (0x3B1, 0x3C9), (0x4E00, 0x9FA0), (97, 122)] for _ in range(40)]
+    whole = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(40).collect()]
+    clean = ["the", "people", "because", "the the the the the the the the the the the the", "they have been there"] + [t for t in whole if t and len(t) > 200]
+    df = docs(spark, foreign + clean)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, df, sf_dir).collect()}
+    assert kept == set(range(len(foreign), len(foreign + clean)))
+
+
 def test_sql_gives_the_same_rows(spark, sf_dir):
     import duckdb
 
