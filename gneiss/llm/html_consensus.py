@@ -34,16 +34,30 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "object")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-_DROP_TAGS = frozenset("nav header footer aside form button dialog menu figcaption select input textarea head".split())
-_DROP_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|banner|breadcrumbs?|comments?|comment\w*|cookie\w*|consent|disqus|footer|gdpr|header|masthead|menu\w*|meta-?info"
-    r"|modal|nav\w*|newsletter|notice|pagination|pager|popup|promo\w*|related|replies|respond|share\w*|sharing|sidebar\w*|side-?bar|social|sponsor\w*|subscribe\w*|toolbar|widget\w*)(?:$|[^a-z])"
+_DROP_TAGS = frozenset("nav header footer aside form button dialog menu select input textarea head".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that no class or id takes for boilerplate.
+_WHOLE = frozenset("article main body html".split()) | _HEADINGS
+#: Words for boilerplate, whatever its share of the page.
+_SURE_WORDS = frozenset(
+    "ad ads adbox advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus gdpr"
+    " menu menus nav navbar navigation navlinks newsletter pagination pager replies respond sponsor sponsored sponsors subscribe subscription".split()
+)
+#: Words for boilerplate unless the element has most of the page's text.
+_LIKELY_WORDS = frozenset(
+    "banner footer header masthead metainfo modal notice popup promo promos promotion promotions related share shares sharing sharebar sidebar social toolbar widget widgets".split()
+)
+#: Words that may stand beside those in a class or id; with any other (with-sidebar, related-work) the name says something else.
+_BESIDE_WORDS = frozenset(
+    "area bar block bottom box btn button buttons container desktop fixed floating form global group icons inner item items left links list main media meta mobile"
+    " outer overlay page panel popular post posts primary right secondary signup site slot sticky top unit wrap wrapper info side articles stories".split()
 )
 _KEEP_WORDS = re.compile(r"(?:^|[^a-z])(?:article\w*|post|post-?(?:body|content)|entry\w*|content|main|story\w*|body-?text|article-?body|text)(?:$|[^a-z])")
 _CONTAINERS = frozenset("article main section div body td center blockquote".split())
@@ -52,11 +66,23 @@ _SELF_NEST = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("
 _DIGITS = re.compile(r"\d+")
 
 
+def boilerplate(names: str) -> int:
+    """2 if a class, id or role is a name of boilerplate, 1 if it is likely one, else 0."""
+    worst = 0
+    for name in names.split():
+        words = set(re.split(r"[^a-z]+", name)) - {""}
+        if words & _SURE_WORDS and words <= _SURE_WORDS | _LIKELY_WORDS | _BESIDE_WORDS:
+            return 2
+        if (words & _LIKELY_WORDS or {"side", "bar"} <= words or {"meta", "info"} <= words) and words <= _LIKELY_WORDS | _BESIDE_WORDS:
+            worst = 1
+    return worst
+
+
 class Node:
-    __slots__ = ("tag", "name", "parent", "drop", "plus")
+    __slots__ = ("tag", "name", "parent", "drop", "likely", "plus")
 
-    def __init__(self, tag, name, parent, drop, plus):
-        self.tag, self.name, self.parent, self.drop, self.plus = tag, name, parent, drop, plus
+    def __init__(self, tag, name, parent, drop, likely, plus):
+        self.tag, self.name, self.parent, self.drop, self.likely, self.plus = tag, name, parent, drop, likely, plus
 
 
 class Page:
@@ -66,9 +92,25 @@ class Page:
         self.nodes: list[Node] = []
         self.blocks: list[tuple[Node, str, int]] = []
         self._read(source)
+        if any(n.likely for n in self.nodes):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Drops the likely boilerplate that has no more than half of the text."""
+        sizes: dict[int, int] = {}
+        total = 0
+        for node, text, _ in self.blocks:
+            if not node.drop:
+                total += len(text)
+                up = node
+                while up is not None:
+                    sizes[id(up)] = sizes.get(id(up), 0) + len(text)
+                    up = up.parent
+        for node in self.nodes:
+            node.drop = node.drop or node.parent.drop or (node.likely and 2 * sizes.get(id(node), 0) <= total)
 
     def _read(self, source: str) -> None:
-        root = Node("", "", None, False, 0)
+        root = Node("", "", None, False, False, 0)
         at, node, parts, linked, in_link = 0, root, [], 0, 0
         skip, skip_depth = None, 0  # an inline element that is left out, and how deep it nests
 
@@ -134,9 +176,21 @@ class Page:
             if tag == "a":
                 in_link += 1
             attrs = m["attrs"]
-            words = " ".join((a[1] or a[2] or a[3]) for a in _ATTR.findall(attrs)).lower() if "=" in attrs else ""
-            hidden = bool(attrs) and bool(re.search(r"\bhidden\b(?!=)|display:\s*none|aria-hidden\s*=\s*.true", attrs))
-            drop = hidden or tag in _DROP_TAGS or bool(words and _DROP_WORDS.search(words) and not (tag in ("article", "main", "body", "html")))
+            words, hidden, kind = "", False, 0
+            if attrs and not attrs.isspace():
+                for name, *values in _ATTR.findall(attrs.lower()):
+                    value = values[0] or values[1] or values[2]
+                    if name in ("class", "id", "role"):
+                        words = f"{words} {value}" if words else value
+                    elif name == "hidden":
+                        hidden = hidden or value != "until-found"
+                    elif name == "style":
+                        hidden = hidden or bool(_NO_DISPLAY.search(value))
+                    elif name == "aria-hidden":
+                        hidden = hidden or value == "true"
+                kind = boilerplate(words) if words and tag not in _WHOLE else 0
+            # A body that is hidden at first is shown by a script.
+            drop = (hidden and tag not in ("body", "html")) or tag in _DROP_TAGS or kind == 2 or (kind == 1 and tag in _INLINE)
             if tag in _INLINE:
                 if skip is None and drop:
                     skip, skip_depth = tag, 1
@@ -165,7 +219,7 @@ class Page:
                 if up is not None and up.tag == tag:
                     node = up.parent
             label = tag + "".join("." + _DIGITS.sub("", w) for w in sorted(words.split()))
-            node = Node(tag, label, node, drop or node.drop, 1 if words and _KEEP_WORDS.search(words) else 0)
+            node = Node(tag, label, node, drop or node.drop, kind == 1, 1 if words and _KEEP_WORDS.search(words) else 0)
             self.nodes.append(node)
             if attrs.rstrip().endswith("/") and tag not in _CONTAINERS:
                 node = node.parent

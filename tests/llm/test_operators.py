@@ -396,6 +396,25 @@ def test_main_text_by_host_consensus(spark, most):
     assert html_consensus.extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="overflow-hidden"><p>one</p><p>two</p></body>',
+        '<body class="hidden-print" style="overflow:hidden"><article class="overflow-hidden"><p>one</p><p>two</p></article></body>',
+        '<body style="display:none"><main><p>one</p><p>two</p></main></body>',
+        '<body><div class="content with-sidebar"><p>one</p><p>two</p></div><div class="sidebar">side</div></body>',
+        '<body class="has-sidebar"><div class="has-sidebar post"><p>one</p><p>two</p></div><p hidden>no</p><p style="color:red; display: none">no</p></body>',
+        '<body><article><h2 id="related-work">one</h2><p>two</p></article></body>',
+        '<body><article><section id="social-impact"><p>one</p></section><p>two</p><div aria-hidden="true">no</div></article></body>',
+        '<body><article><div class="section-header">one</div><p>two</p><div class="related-posts">no</div></article></body>',
+        '<body><div class="widget"><p>one</p><p>two</p><div class="social-share">no</div></div></body>',
+        '<body><article><figure><img src=a><figcaption>one</figcaption></figure><p>two</p></article></body>',
+    ],
+)
+def test_layout_names_and_captions_stay(page):
+    assert html_consensus.extract(page, None) == "one\ntwo"
+
+
 # ---------------------------------------------------------------- pipeline and SQL
 
 
