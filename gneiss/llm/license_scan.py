@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,7 @@ from gneiss.llm.common import col, expand_rows, words_of
 
 #: Corpus texts that negatives are taken from at most, and paragraphs of each.
 MAX_NEGATIVE_TEXTS = 1_500
+PARAGRAPHS = 6
 MIN_PROBABILITY = 0.6
 MIN_SIMILARITY = 0.5
 LONG_LINE = 400
@@ -131,6 +133,32 @@ def generated(rng: random.Random, n: int) -> tuple[list[str], list[str]]:
     return texts, families
 
 
+def template_pairs() -> dict[str, list[frozenset[bytes]]]:
+    """The word pairs of each family's templates."""
+    pairs = {}
+    for f in NAMES:
+        full = [frame.format(n) for n in NAMES[f] for frame in FRAMES] + PASSAGES[f]
+        pairs[f] = [frozenset(a + b" " + c for a, c in zip(ws, ws[1:])) for t in full if len(ws := words_of(t)) > 1]
+    return pairs
+
+
+def similarity(words: list[bytes], vocabulary: set[bytes], templates: list[frozenset[bytes]]) -> float:
+    """The share of the word pairs with a word of the vocabulary that one template has, at best."""
+    pairs = {a + b" " + b for a, b in zip(words, words[1:])}
+    pairs = {p for p in pairs if any(w in vocabulary for w in p.split())}
+    return max((len(pairs & t) / len(pairs) for t in templates), default=0.0) if pairs else 0.0
+
+
+def without(words: list[bytes], runs: set[tuple[bytes, ...]]) -> list[bytes]:
+    """The words outside of the runs of three."""
+    inside = {j for i in range(len(words) - 2) if tuple(words[i : i + 3]) in runs for j in range(i, i + 3)}
+    return [w for i, w in enumerate(words) if i not in inside]
+
+
+def _draw(paragraph: str) -> tuple[int, str]:
+    return zlib.crc32(paragraph.encode("utf-8", "surrogatepass")), paragraph
+
+
 @dataclass
 class LicenceModel:
     classes: list[str]
@@ -153,9 +181,7 @@ class LicenceModel:
 
     def similarity(self, words: list[bytes], family: str) -> float:
         """The share of the paragraph's known word pairs that one template has, at best."""
-        pairs = {a + b" " + b for a, b in zip(words, words[1:])}
-        pairs = {p for p in pairs if any(w in self.vocabulary for w in p.split())}
-        return max((len(pairs & t) / len(pairs) for t in self.pairs[family]), default=0.0) if pairs else 0.0
+        return similarity(words, self.vocabulary, self.pairs[family])
 
     def scan(self, text: str | None) -> list[tuple[int, str, float, float, bool, str]]:
         """(paragraph, family, probability, similarity, confirmed, paragraph text) of the finds."""
@@ -176,17 +202,30 @@ def train(corpus: list[str]) -> LicenceModel:
     rng = random.Random(SEED)
     texts, families = generated(rng, 160)
     classes = [*NAMES, UNKNOWN]
-    negative = [p for t in corpus for p in paragraphs(t)[:6]]
+    # Drawn by hash over the whole text; copies count once.
+    negative = sorted({p for t in corpus for p in sorted(paragraphs(t), key=_draw)[:PARAGRAPHS]})
     marks = {w for t in texts for w in words_of(t)}
-    # A corpus paragraph that is a notice itself is no negative: it has a template's name in it.
+    # A corpus paragraph that is a notice itself is no negative: it has a template's name in it, or is like a template.
     names = [tuple(words_of(n)) for ns in NAMES.values() for n in ns]
     has = lambda w: any(w[i : i + len(n)] == list(n) for n in names for i in range(len(w) - len(n) + 1))
     negative = [p for p in negative if not (b"licensed" in (w := words_of(p)) or b"license" in w or b"copyright" in w or has(w))]
+    pairs = template_pairs()
+    every = [frozenset().union(*(t for ts in pairs.values() for t in ts))]
+    like = lambda w: similarity(w, marks, every) >= MIN_SIMILARITY and max(similarity(w, marks, ts) for ts in pairs.values()) >= MIN_SIMILARITY
+    negative = [p for p in negative if not like(words_of(p))]
+    # Nor is a template's phrase within other text.
+    phrases = [words_of(t) for ts in (*NAMES.values(), *PASSAGES.values()) for t in ts]
+    runs = {tuple(w[i : i + 3]) for w in phrases for i in range(len(w) - 2)}
+    negative = [b" ".join(without(words_of(p), runs)).decode("utf-8", "replace") for p in negative]
     df: dict[bytes, int] = {}
     for p in negative:
         for w in marks.intersection(words_of(p)):
             df[w] = df.get(w, 0) + 1
     vocabulary = {w for w in marks if df.get(w, 0) <= 0.002 * max(1, len(negative)) and len(w) > 1}
+    # However frequent its words are, each template keeps its rarest.
+    for ws in phrases:
+        if vocabulary.isdisjoint(ws):
+            vocabulary.add(min((w for w in ws if len(w) > 1), key=lambda w: (df.get(w, 0), w)))
     negative = [p for p in negative if not vocabulary.isdisjoint(words_of(p))] + NEGATIVES * 12
     texts, y = texts + negative, [classes.index(f) for f in families] + [len(classes) - 1] * len(negative)
     grams = [ngrams(words_of(t), vocabulary) for t in texts]
@@ -216,10 +255,6 @@ def train(corpus: list[str]) -> LicenceModel:
         q = z / t
         loss = float((np.log(np.exp(q - q.max(axis=1, keepdims=True)).sum(axis=1)) - (q - q.max(axis=1, keepdims=True))[np.arange(len(q)), np.array(y)[held]]).mean())
         best = min(best, (loss, float(t)))
-    pairs = {}
-    for f in NAMES:
-        full = [frame.format(n) for n in NAMES[f] for frame in FRAMES] + PASSAGES[f]
-        pairs[f] = [frozenset(a + b" " + c for a, c in zip(ws, ws[1:])) for t in full if len(ws := words_of(t)) > 1]
     return LicenceModel(classes, vocabulary, features, w, b, best[1], pairs)
 
 

@@ -79,6 +79,30 @@ def test_licence_families_and_unknown(spark):
     assert got == {(first + i, 1): (f, True) for i, f in enumerate(marks.values())}
 
 
+@pytest.mark.parametrize("inline", [False, True])
+def test_notices_in_a_third_of_the_rows_are_found(spark, inline):
+    rng = random.Random(21)
+    notices = {
+        "All rights reserved.": "Proprietary",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction": "MIT",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "BSD",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+    }
+    texts, want = [], set()
+    for i in range(600):
+        lines = [prose(rng, 30) for _ in range(8)]
+        if i % 3 == 0:
+            notice = list(notices)[i // 3 % 4]
+            lines.insert(1, notice)
+            want.add((i, 1, notices[notice]))
+        elif inline:
+            lines[0] += f" {list(notices)[i // 3 % 4]} {prose(rng, 30)}"
+        texts.append("\n".join(lines))
+    df = docs(spark, texts)
+    got = {(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(df, license_scan.fit(df)).collect()}
+    assert got >= want and (inline or got == want)
+
+
 def test_licence_held_out_accuracy():
     model = license_scan.train([])
     texts, families = license_scan.generated(random.Random(99), 60)
