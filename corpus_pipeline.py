@@ -56,7 +56,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of what is left."""
-    return sentencepiece_gumbel.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"), ids=False)
+    return sentencepiece_gumbel.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 STAGES = [

@@ -53,7 +53,7 @@ def op5_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece_gumbel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sentencepiece_gumbel.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"), ids=False)
+    return sentencepiece_gumbel.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

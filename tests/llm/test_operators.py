@@ -309,6 +309,16 @@ def test_segmentation_rows(spark):
     assert all(r.text == want[r.doc_id] for r in back.collect())
 
 
+def test_queries_return_the_sampled_ids(spark, sf_dir):
+    import corpus_pipeline
+
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = {r.doc_id: r.text for r in df.collect()}
+    for out in (queries()["op6_sentencepiece_gumbel"](spark, sf_dir), corpus_pipeline.encoded(spark, df.limit(20), sf_dir)):
+        back = sentencepiece_gumbel.decode_pieces(out, tokenizer_path("piece_bpe_32k.model"), keep=("doc_id",)).collect()
+        assert back and all(r.text == want[r.doc_id] for r in back)
+
+
 def test_token_counts_equal_the_library(spark):
     from tokenizers import Tokenizer
 
