@@ -50,7 +50,7 @@ MARK = "▁"
 ALPHA = 1.5
 SAMPLES = 3
 #: Arcs that a worker remembers before it starts anew, and characters worked on at once.
-MEMO = 8_000_000
+MEMO = 5_000_000
 CHARS = 400_000
 REDRAWS = 3
 _U64 = np.uint64

@@ -235,15 +235,15 @@ def test_neighbours_equal_brute_force(spark):
     m.idf = np.linspace(1, 3, 30)
     w = np.random.default_rng(0).random((500, 30)) * (np.random.default_rng(1).random((500, 30)) < 0.15)
     w[:, 0] += 1e-3
-    m.weights = (w / np.linalg.norm(w, axis=1, keepdims=True)).astype(np.float32)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
     m.ids, m.labels = np.arange(500), np.zeros(500)
-    m.block_max = np.maximum.reduceat(m.weights, np.arange(0, 500, toxicity.BLOCK), axis=0).T + 1e-7
+    m.postings = toxicity.Postings.of([[(int(t), float(x[t])) for t in np.flatnonzero(x)] for x in w], 30)
     for _ in range(40):
         v = tuple(sorted((t, rng.randint(1, 3)) for t in rng.sample(range(30), 4)))
         q = np.zeros(30)
         for t, n in v:
             q[t] = (1 + math.log(n)) * m.idf[t]
-        cos = m.weights @ (q / np.linalg.norm(q))
+        cos = w @ (q / np.linalg.norm(q))
         kth = np.sort(cos[cos > 0])[-toxicity.NEIGHBOURS] if (cos > 0).sum() >= toxicity.NEIGHBOURS else 0
         i, c = m.neighbours(v)
         assert set(i) >= set(np.flatnonzero(cos > kth + 1e-6)) and (c >= kth - 1e-6).all()
