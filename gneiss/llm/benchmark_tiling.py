@@ -8,14 +8,19 @@ is still unmarked on both sides, until none of MIN_MATCH words is left. The tile
 the item is its coverage, so a passage counts even if its parts stand in another order. An
 item shorter than MIN_MATCH words has to occur whole; an item without words is never found.
 
-Null and empty texts give no rows; repeated texts and items each give their own. The item index
-is broadcast while it is under MAX_WORDS words; beyond that the items are worked through in
-as many passes as it takes, each within the bound."""
+Null and empty texts give no rows; repeated texts and items each give their own; items without
+text are never found. Rows without an id, or that share one, are judged by their own text. The
+item index is broadcast while it has at most MAX_WORDS words; beyond that the items are worked
+through in as many passes as it takes, each within the bound (an item that has more by itself
+gets a pass of its own). Ties between matches go to the earlier place in the item, then in the
+text. Other columns are not read."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import col, expand_rows, words_of
+from gneiss.llm.common import col, cut, expand_rows, map_rows, words_of
 
 MIN_MATCH = 5
 COVERAGE = 0.5
 #: Words of benchmark items that one pass holds in each worker.
 MAX_WORDS = 2_000_000
+#: Hits of seeds that are looked at together in one text.
+HITS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,38 +118,87 @@ def tile(matches: list[tuple[int, int, int]], n_text: int, n_item: int, least: i
 class Tiler:
     def __init__(self, items: Items, coverage: float):
         self.items, self.coverage, self.numbers = items, coverage, _Numbers()
+        self.sizes = np.array([len(w) for w in items.words], np.int64)
+
+    def _hits(self, x: np.ndarray, n: int):
+        """(item, item place, text place) of the seeds of n words in items that their number of
+        hits lets reach the coverage."""
+        keys, which, place = self.items.seeds[n]
+        h = rolling(x, n)
+        at = np.searchsorted(keys, h)
+        at[at == len(keys)] = 0
+        t = np.flatnonzero(keys[at] == h)
+        if not len(t):
+            return
+        lo = at[t]
+        g = np.searchsorted(keys, h[t], "right") - lo
+        total = np.cumsum(g)
+        cuts = [0, *np.searchsorted(total, np.arange(HITS, total[-1], HITS)).tolist(), len(t)]
+        slices = [slice(a, b) for a, b in zip(cuts, cuts[1:]) if b > a]
+        expand = lambda s: (np.repeat(lo[s], g[s]) + np.arange(int(g[s].sum())) - np.repeat(np.cumsum(g[s]) - g[s], g[s]), np.repeat(t[s], g[s]))
+        count = np.zeros(len(self.sizes), np.int64)
+        for s in slices:
+            count += np.bincount(which[expand(s)[0]], minlength=len(count))
+        enough = n * count >= self.coverage * self.sizes
+        for s in slices:
+            seed, text = expand(s)
+            stay = enough[which[seed]]
+            yield which[seed[stay]], place[seed[stay]], text[stay]
 
     def text(self, text: str | None) -> list[tuple[int, int, int, int, int, float]]:
         """(item id, tiles, longest, covered words, item words, coverage) for the items found."""
-        numbers, items, hits = self.numbers, self.items, {}
+        numbers, items, out = self.numbers, self.items, []
         x = np.array([numbers[w] for w in words_of(text)], np.uint64)
-        for n, (keys, which, place) in items.seeds.items():
-            h = rolling(x, n)
-            lo = np.searchsorted(keys, h)
-            lo[lo == len(keys)] = 0
-            for t in np.flatnonzero(keys[lo] == h).tolist():
-                at = int(lo[t])
-                while at < len(keys) and keys[at] == h[t]:
-                    k, i = int(which[at]), int(place[at])
-                    if np.array_equal(x[t : t + n], items.words[k][i : i + n]):
-                        hits.setdefault(k, {}).setdefault(t - i, []).append(i)
-                    at += 1
-        out = []
-        for k, diagonals in sorted(hits.items()):
-            size = len(items.words[k])
-            n, matches = min(MIN_MATCH, size), []
-            for d, places in diagonals.items():
-                begin = last = places[0]
-                for i in [*places[1:], None]:
-                    if i is None or i != last + 1:
-                        matches.append((begin + d, begin, last - begin + n))
-                        begin = i
-                    last = i
-            tiles = tile(matches, len(x), size, n)
-            covered = sum(m for _, _, m in tiles)
-            if covered >= self.coverage * size:
-                out.append((items.ids[k], len(tiles), max(m for _, _, m in tiles), covered, size, covered / size))
-        return out
+        for n in items.seeds:
+            found = list(self._hits(x, n))
+            if not found:
+                continue
+            k, i, t = (np.concatenate(c) for c in zip(*found, strict=True))
+            true = np.ones(len(k), bool)
+            for at in range(n):  # a hash is no proof
+                true &= x[t + at] == self.flat[self.starts[k] + i + at]
+            k, i, t = k[true], i[true], t[true]
+            order = np.lexsort((i, t - i, k))
+            k, i, d = k[order], i[order], (t - i)[order]
+            # Hits on one diagonal, one after the other, are a maximal match.
+            head = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1))) if len(k) else np.zeros(0, np.int64)
+            size = np.diff(np.append(head, len(k))) + n - 1
+            edge = np.flatnonzero(np.append(True, k[head][1:] != k[head][:-1])) if len(head) else head
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(head)], strict=False):
+                item, h = int(k[head[a]]), head[a:b]
+                whole = int(self.sizes[item])
+                tiles = tile(list(zip((i[h] + d[h]).tolist(), i[h].tolist(), size[a:b].tolist(), strict=True)), len(x), whole, n)
+                covered = sum(m for _, _, m in tiles)
+                if tiles and covered >= self.coverage * whole:
+                    out.append((items.ids[item], len(tiles), max(m for _, _, m in tiles), covered, whole, covered / whole, item))
+        return [r[:-1] for r in sorted(out, key=lambda r: r[-1])]
+
+    @functools.cached_property
+    def flat(self) -> np.ndarray:
+        return np.concatenate(self.items.words) if self.items.words else np.zeros(0, np.uint64)
+
+    @functools.cached_property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, max_words: int) -> Iterator[Items]:
+    """The items in parts of at most ``max_words`` words, one after the other."""
+    items = benchmark.select(col(item_col).cast("long").alias("i"), col(text_col).alias("t")).filter("t is not null")
+    counted = map_rows(items, ["t"], ["i", "t"], [T.StructField("n", T.LongType())], lambda: lambda texts: ([len(words_of(t)) for t in texts],))
+    counted = cut(counted.withColumn("row", F.xxhash64(F.monotonically_increasing_id())))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, 64 * -(-int(total) // max_words)) if total > max_words else 1
+    sizes = counted.groupBy(F.pmod("row", F.lit(buckets)).alias("b")).agg(F.sum("n").alias("n")).collect()  # 64 numbers a pass
+    parts: list[tuple[int, list[int]]] = []
+    for b, n in sorted((r["b"], r["n"]) for r in sizes):
+        if parts and parts[-1][0] + n <= max_words:
+            parts[-1] = parts[-1][0] + n, [*parts[-1][1], b]
+        else:
+            parts.append((n, [b]))
+    for _, wanted in parts or [(0, [])]:
+        rows = counted.filter(F.pmod("row", F.lit(buckets)).isin(wanted)).select("i", "t").collect()  # within max_words words
+        yield Items.of([r["i"] for r in rows], [r["t"] for r in rows])
 
 
 def find_contamination(
@@ -167,14 +223,9 @@ def find_contamination(
         T.StructField("item_words", T.IntegerType()),
         T.StructField("coverage", T.DoubleType()),
     ]
-    items = benchmark.select(col(item_col).cast("long").alias("i"), col(item_text_col).alias("t")).filter("t is not null")
-    size = items.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
-    passes = max(1, -(-int(size) // max_words))
     out = None
-    for n in range(passes):
-        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("t"), F.lit(passes)) == n)
-        rows = part.collect()  # within max_words words
-        shared = sc.broadcast(Items.of([r["i"] for r in rows], [r["t"] for r in rows]))
+    for part in _passes(benchmark, item_col, item_text_col, max_words):
+        shared = sc.broadcast(part)
 
         def factory(shared=shared):
             tiler = Tiler(shared.value, coverage)
@@ -190,7 +241,17 @@ def find_contamination(
     return out
 
 
-def remove_contaminated(df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose id has no contaminated text; rows without an id stay if clean ids do."""
-    hit = find_contamination(df, benchmark, coverage, id_col, text_col)
-    return df.join(hit.select(col(id_col)).distinct(), id_col, "left_anti")
+def remove_contaminated(
+    df: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS
+) -> DataFrame:
+    """The rows of ``df`` whose own text reaches no item's coverage, whatever their id."""
+    out = df
+    for part in _passes(benchmark, item_col, item_text_col, max_words):
+        shared = df.sparkSession.sparkContext.broadcast(part)
+
+        def factory(shared=shared):
+            tiler = Tiler(shared.value, coverage)
+            return lambda texts: ([not tiler.text(t) for t in texts],)
+
+        out = map_rows(out, [text_col], df.columns, [T.StructField("_clean", T.BooleanType())], factory).filter("_clean").select(*[col(c) for c in df.columns])
+    return out
