@@ -1,7 +1,8 @@
 """Operator 3: exact Jaccard self-join on word 5-grams, as connected components.
 
-A text's set holds the 64-bit hashes of its distinct shingles; every text is shingled once and
-its set kept in a checkpoint. Equal sets become one class, and only classes are joined. Tokens
+A text's set holds the 64-bit hashes of its distinct shingles. Equal sets become one class, and
+only classes are joined. Sets are not stored, as they are larger than their texts: shingling is
+vectorised over batches of texts, and done again for prefixes and for candidates. Tokens
 are ordered from rare to frequent by a count sketch over every text of the table; any two sets
 with 100 * |A & B| >= 80 * |A | B| share a token among the first |A| - ceil(0.8 |A|) + 1 of
 either (prefix filter), so the prefixes form inverted lists.
@@ -33,7 +34,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,24 +135,22 @@ def _print(s: np.ndarray) -> int | None:
 
 
 class _Profiles:
-    """A row per text with its set; at the end of the partition its slices of the sketch."""
+    """A row per text; at the end of the partition its slices of the sketch."""
 
     def __init__(self):
         self.counts = np.zeros(SKETCH, np.int64)
-        self.next = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
     def __call__(self, ids, texts):
         sets = shingle_sets(texts)
         self.counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-        rows, none = list(range(self.next, self.next + len(ids))), [None] * len(ids)
-        self.next += len(ids)
-        return rows, ids, [len(s) for s in sets], list(map(_print, sets)), [s.tobytes() for s in sets], none, none
+        none = [None] * len(ids)
+        return ids, [len(s) for s in sets], list(map(_print, sets)), none, none
 
     def finish(self):
         rows = [(i, self.counts[i * SLICE : (i + 1) * SLICE]) for i in range(SKETCH // SLICE)]
         rows = [(i, c.astype("<i8").tobytes()) for i, c in rows if c.any()]
         none = [None] * len(rows)
-        return none, none, none, none, none, [r[0] for r in rows], [r[1] for r in rows]
+        return none, none, none, [r[0] for r in rows], [r[1] for r in rows]
 
 
 def _sum_slices(batches):
@@ -182,34 +180,42 @@ def prefix(s: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.nda
     return s[order], c[order]
 
 
-def _prefixes(counts, similarity: float):
-    """(token, salt, class, set size, position) of the prefixes of sets (class, set)."""
+class _Sets:
+    """(print, id, set) of texts with words; a text that a task has seen is mostly left out."""
 
-    def run(batches):
-        table = counts.value
-        usual = int(np.median(table))
-        for batch in batches:
-            nodes, tokens, salts, sizes = [], [], [], []
-            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                p, c = prefix(s, table, similarity)
-                # A frequent token's list is dealt to parts; all of them are looked at again.
-                parts = np.maximum(0, c - usual) // BLOCK
-                nodes.append(node)
-                sizes.append((len(p), len(s)))
-                tokens.append(p)
-                salts.append(np.where(parts > 0, (node * 0x9E3779B97F4A7C15 >> 33 & 0x3FFFFFFF) % (parts + 1), -1))
-            if nodes:
-                n = np.array(sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.repeat(np.array(nodes, np.int64), n[:, 0])),
-                        pa.array(np.repeat(n[:, 1], n[:, 0]).astype(np.int32)), pa.array((np.arange(n[:, 0].sum()) - np.repeat(np.cumsum(n[:, 0]) - n[:, 0], n[:, 0])).astype(np.int32)),
-                    ],
-                    names=["token", "salt", "node", "n", "pos"],
-                )
+    def __init__(self):
+        self.seen: set[tuple[int, int | None]] = set()
 
-    return run
+    def of(self, ids, texts):
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        for i, s in zip(ids, shingle_sets(texts), strict=True):
+            key = _print(s), i
+            if len(s) and key not in self.seen:
+                self.seen.add(key)
+                yield *key, s
+
+    def __call__(self, ids, texts):
+        found = [(f, i, s.tobytes()) for f, i, s in self.of(ids, texts)]
+        return list(zip(*found, strict=True)) if found else [[], [], []]
+
+
+class _Prefixes(_Sets):
+    """(print, id, set size, prefix tokens, salts) of texts with words."""
+
+    def __init__(self, counts: np.ndarray, similarity: float):
+        super().__init__()
+        self.counts, self.usual, self.similarity = counts, int(np.median(counts)), similarity
+
+    def __call__(self, ids, texts):
+        out = []
+        for f, i, s in self.of(ids, texts):
+            p, c = prefix(s, self.counts, self.similarity)
+            # A frequent token's list is dealt to parts; all of them are looked at again.
+            parts = np.maximum(0, c - self.usual) // BLOCK
+            salt = np.where(parts > 0, (f * 0x9E3779B97F4A7C15 >> 33 & 0x3FFFFFFF) % (parts + 1), -1)
+            out.append((f, i, len(s), p.view(np.int64), salt.astype(np.int32)))
+        return list(zip(*out, strict=True)) if out else [[] for _ in range(5)]
 
 
 def _bounds(n, pos, m, other, similarity):
@@ -308,7 +314,8 @@ def _lists(similarity: float):
                 lead = np.array([a + int(np.lexsort((node[a : a + k], n[a : a + k], pos[a : a + k]))[0]) for a, k in zip(starts[long].tolist(), g[long].tolist(), strict=True)])
                 x, y = probe(n, pos, lead, starts[long], g[long], similarity)
                 i, j = np.concatenate([i, x]), np.concatenate([j, y])
-            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+            pairs = np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])
+            pairs = np.unique(pairs[:, pairs[0] < pairs[1]], axis=1)
             for at in range(0, pairs.shape[1], 50_000):
                 a, b = pairs[:, at : at + 50_000]
                 yield _batch(np.zeros(len(a), np.int32), np.zeros(len(a), np.int64), a, b, np.zeros(len(a), np.int32), np.zeros(len(a), np.int32))
@@ -357,12 +364,30 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, similarity: float, every: bool = False) -> DataFrame:
+class _Classes:
+    """The classes (node, f, rep, n) of a table's texts, and their sets on demand."""
+
+    def __init__(self, docs: DataFrame, rows: DataFrame):
+        found = cut(rows.filter("f is not null").groupBy("f").agg(F.min("i").alias("rep"), F.min("n").alias("n")))
+        # Small numbers make small shuffles; the checkpoint keeps them as they are.
+        self.docs, self.table = docs, found.withColumn("node", F.monotonically_increasing_id())
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(node, s) for some nodes; a repeated row may give its set again."""
+        wanted = cut(self.table.join(_small(ids), "node", "left_semi").select("node", "f", "rep"))
+        reps = _small(cut(wanted.select("rep").distinct()))
+        texts = self.docs.join(reps, F.col("i").eqNullSafe(F.col("rep")), "left_semi")
+        fields = [T.StructField("f", T.LongType()), T.StructField("i", T.LongType()), T.StructField("s", T.BinaryType())]
+        made = expand_rows(texts, ["i", "t"], fields, _Sets)
+        return made.join(_small(wanted.withColumnRenamed("f", "_f")), (F.col("f") == F.col("_f")) & F.col("i").eqNullSafe(F.col("rep"))).select("node", "s")
+
+
+def _compared(pairs: DataFrame, classes: _Classes, similarity: float, every: bool = False) -> DataFrame:
     """(a, b, o, na, nb) of the pairs that link, or of all: o is the intersection. A set goes to a
     task once for up to PARTNERS partners, and with more partners to several tasks."""
     pairs = cut(pairs.distinct())
     ids = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    needed = cut(sets.join(_small(ids), "node", "left_semi").select("node", "s"))
+    needed = cut(classes.sets(ids))
     parts = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")))
     theirs = pairs.join(_small(parts), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     theirs = theirs.join(needed.withColumnRenamed("node", "b"), "b").select("a", "part", "b", F.lit(1).alias("turn"), "s")
@@ -403,7 +428,7 @@ def _followers(links: DataFrame) -> DataFrame:
     return cut(best.filter("leader < node").join(chiefs, "leader", "left_semi").select("node", "leader", "extra"))
 
 
-def _late_links(again: DataFrame, links: DataFrame, sets: DataFrame, sizes: DataFrame, similarity: float, spread: int) -> DataFrame:
+def _late_links(again: DataFrame, links: DataFrame, classes: _Classes, similarity: float, spread: int) -> DataFrame:
     """The links that connect components across long lists: (a, b)."""
     part = cut(components(links))
     members = _followers(links)
@@ -435,10 +460,10 @@ def _late_links(again: DataFrame, links: DataFrame, sets: DataFrame, sizes: Data
     upper = upper.withColumn("key", block_key(F.col("bucket") - 1, "other", "mine")).select(*target)
     blocks = lower.unionByName(upper).repartition(spread, "token", "key").sortWithinPartitions("token", "key")
     leaders = blocks.mapInArrow(_across(similarity), "a long, b long")
-    known = cut(_compared(leaders, sets, similarity, every=True))
+    known = cut(_compared(leaders, classes, similarity, every=True))
     linked = known.filter(_links(F.col("o"), F.col("na"), F.col("nb"), similarity)).select("a", "b")
     # Followers of leaders that do not link, as far as the difference to the leader lets them.
-    group = members.join(sizes, "node").select("leader", F.col("node").alias("x"), "extra", "n")
+    group = members.join(classes.table.select("node", "n"), "node").select("leader", F.col("node").alias("x"), "extra", "n")
     alone = known.select(F.col("a").alias("leader"), F.col("na").alias("n")).unionByName(known.select(F.col("b").alias("leader"), F.col("nb").alias("n"))).distinct()
     group = cut(group.unionByName(alone.select("leader", F.col("leader").alias("x"), F.lit(0).cast("long").alias("extra"), "n")))
     reach = cut(group.groupBy("leader").agg(F.max("extra").alias("far"), F.min("n").alias("small"), F.count(F.lit(1)).alias("g")))
@@ -450,7 +475,7 @@ def _late_links(again: DataFrame, links: DataFrame, sets: DataFrame, sizes: Data
     two = group.select(F.col("leader").alias("b"), F.col("x").alias("t"), F.col("extra").alias("eb"), F.col("n").alias("nt"))
     derived = near.join(one, "a").join(two, "b").filter(_links(F.col("o") + F.col("ea") + F.col("eb"), F.col("nr"), F.col("nt"), similarity) & ((F.col("r") != F.col("a")) | (F.col("t") != F.col("b"))))
     derived = derived.select(F.least("r", "t").alias("a"), F.greatest("r", "t").alias("b"))
-    return linked.unionByName(_compared(derived, sets, similarity).select("a", "b"))
+    return linked.unionByName(_compared(derived, classes, similarity).select("a", "b"))
 
 
 def _links(o, n, m, similarity: float):
@@ -460,40 +485,45 @@ def _links(o, n, m, similarity: float):
 
 
 def linked_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """For texts (i, t): rows (i, n, node) with the class of each row's set (null: empty), and
-    (node, component, rep): the classes' components, and the smallest id of each component."""
+    """For texts (i, t): rows (i, n, f) with the print of each row's set (null: empty), and
+    (f, component, rep): the classes' components, and the smallest id of each component."""
     spark, long = docs.sparkSession, T.LongType()
     fields = [
-        T.StructField("row", long), T.StructField("i", long), T.StructField("n", long), T.StructField("node", long),
-        T.StructField("s", T.BinaryType()), T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType()),
+        T.StructField("i", long), T.StructField("n", long), T.StructField("f", long), T.StructField("slice", T.IntegerType()), T.StructField("counts", T.BinaryType()),
     ]
     profiles = cut(expand_rows(docs, ["i", "t"], fields, _Profiles))
     counts = spark.sparkContext.broadcast(_sketch(profiles))
-    rows = profiles.filter("slice is null").select("row", "i", "n", "node")
-    classes = cut(rows.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"), F.min("i").alias("rep"), F.min("n").alias("n")))
-    first = _small(classes.select("row"))
-    sets = profiles.filter("node is not null").select("row", "node", "s").join(first, "row", "left_semi").select("node", "s")
+    rows = profiles.filter("slice is null").select("i", "n", "f")
+    classes = _Classes(docs, rows)
+    fields = [
+        T.StructField("f", long), T.StructField("i", long), T.StructField("n", T.IntegerType()), T.StructField("tokens", T.ArrayType(long)), T.StructField("salts", T.ArrayType(T.IntegerType())),
+    ]
+    made = expand_rows(docs, ["i", "t"], fields, lambda: _Prefixes(counts.value, similarity))
+    named = classes.table.select(F.col("f").alias("_f"), "rep", "node")
+    made = made.join(_small(named), (F.col("f") == F.col("_f")) & F.col("i").eqNullSafe(F.col("rep"))).select("node", "n", F.posexplode(F.arrays_zip("tokens", "salts")).alias("pos", "x"))
     spread = shuffle_width(spark)
-    postings = sets.mapInArrow(_prefixes(counts, similarity), "token long, salt int, node long, n int, pos int")
+    postings = made.select(F.col("x.tokens").alias("token"), F.col("x.salts").alias("salt"), "node", "n", "pos")
     lists = postings.repartition(spread, "token", "salt").sortWithinPartitions("token", "salt", "n", "pos")
     found = cut(lists.mapInArrow(_lists(similarity), "kind int, token long, a long, b long, n int, pos int"))
-    links = cut(_compared(found.filter("kind = 0").select("a", "b"), sets, similarity))
+    links = cut(_compared(found.filter("kind = 0").select("a", "b"), classes, similarity))
     again = found.filter("kind = 1").select("token", F.col("a").alias("node"), "n", "pos").distinct()
-    late = _late_links(again, links, sets, classes.select("node", "n"), similarity, spread)
+    late = _late_links(again, links, classes, similarity, spread)
     # Texts that share an id are one document's.
-    of_id = rows.filter("i is not null and node is not null").groupBy("i").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("i", "a")
-    shared = rows.select("i", "node").join(_small(cut(of_id)), "i").select("a", F.col("node").alias("b")).filter("a <> b")
+    several = cut(rows.filter("i is not null and f is not null").groupBy("i").agg(F.min("f").alias("a"), F.max("f").alias("b")).filter("a <> b").select("i", F.col("a").alias("first")))
+    shared = rows.join(_small(several), "i").filter("f <> first").select("first", "f").distinct()
+    number = lambda name, to: classes.table.select(F.col("f").alias(name), F.col("node").alias(to))
+    shared = shared.join(number("first", "a"), "first").join(number("f", "b"), "f").select("a", "b")
     part = components(cut(links.select("a", "b").unionByName(late).unionByName(shared)))
-    named = cut(classes.select("node", "rep").join(part, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rep"))
+    named = cut(classes.table.join(part, "node", "left").select("f", F.coalesce("component", "node").alias("component"), "rep"))
     reps = named.groupBy("component").agg(F.min("rep").alias("rep"))
-    return rows.select("i", "n", "node"), cut(named.select("node", "component").join(_small(cut(reps)), "component"))
+    return rows, cut(named.select("f", "component").join(_small(cut(reps)), "component"))
 
 
 def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id."""
     docs = df.select(col(id_col).cast("long").alias("i"), col(text_col).alias("t"))
     rows, named = linked_classes(docs, similarity)
-    found = rows.join(named, "node", "left")
+    found = rows.join(named, "f", "left")
     own = F.when(F.col("i").isNotNull(), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("i")))
     return found.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
@@ -502,7 +532,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     """The rows of ``df`` with one row of each component: the one with the smallest id, of rows
     that share it the smallest, and where no row has an id the smallest row. Empty texts stay."""
     rows, named = linked_classes(df.select(col(id_col).cast("long").alias("i"), col(text_col).alias("t")), similarity)
-    found = cut(rows.join(named, "node", "left"))
+    found = cut(rows.join(named, "f", "left"))
     columns = [col(c) for c in df.columns]
     key = col(id_col).cast("long")
     full = found.filter("n > 0")
@@ -519,5 +549,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     several = df.filter(~blank).join(_small(cut(chosen.filter("_rows > 1").select("i"))), key == F.col("i"), "left_semi")
     out = out.unionByName(first(several.select(key.alias("_by"), whole.alias("_whole")), "_by"))
     out = out.unionByName(none.filter(F.col("_node").isNull()).select(*columns))
-    alone = none.join(named.filter("rep is null").select(F.col("node").alias("_node"), F.col("component").alias("_by")), "_node")
+    alone = none.join(named.filter("rep is null").select(F.col("f").alias("_node"), F.col("component").alias("_by")), "_node")
     return out.unionByName(first(alone.select("_by", whole.alias("_whole")), "_by"))
