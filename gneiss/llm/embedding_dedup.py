@@ -37,7 +37,7 @@ from gneiss.llm.components import components
 from gneiss.llm.ngram_join import _runs
 
 COSINE = 0.9
-BLOCK = 1024
+BLOCK = 512
 HASHES = 3
 #: Shared buckets that are broadcast at most, as (table, code, blocks); beyond that they are joined.
 MAX_BROADCAST = 500_000
