@@ -1,7 +1,8 @@
 """A corpus-cleaning pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and
-read again as the next stage's docs. All but the last keep the columns of documents."""
+read again as the next stage's docs. All but the last keep the columns of documents, and all
+of them take an empty table."""
 
 from __future__ import annotations
 
@@ -12,50 +13,51 @@ from gneiss.llm import benchmark_tiling, language_id, ngram_join, sentencepiece_
 from gneiss.llm.common import cut
 from gneiss.llm.registry import table, tokenizer_path
 
-#: The least cosine of the shortest texts: a word in a learned language may have hardly more.
-MIN_LANGUAGE_SCORE = 0.02
-#: The least cosine of texts with many trigrams. The best of all prototypes has 0.03 to 0.1 by
-#: chance with a text in no learned language, however long it is.
-LONG_LANGUAGE_SCORE = 0.15
-#: Trigrams up to which the first bound holds, and from which the second; between them it rises evenly.
-FEW_TRIGRAMS, MANY_TRIGRAMS = 6, 60
+#: The least cosine that a text needs, by the trigrams in its distinct words, and evenly between. By
+#: chance the best of all prototypes has about 0.03 to 0.1 with random letters; the bounds lie under what
+#: held-out texts of sf0.1 have with their own language and, from about 80 trigrams on, above what
+#: almost all texts have when their language is left out of the fit (README).
+LEAST_SCORE = ((6, 0.02), (20, 0.10), (40, 0.13), (80, 0.19), (160, 0.25), (320, 0.30))
 
 
 def least_score(text: Column) -> Column:
-    """The cosine that a text needs, by the trigrams in its distinct words."""
+    """The cosine that a text needs."""
     words = F.array_distinct(F.split(F.trim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), " "))
-    rise = (F.length(F.array_join(words, " ")) - FEW_TRIGRAMS) / (MANY_TRIGRAMS - FEW_TRIGRAMS)
-    return F.greatest(F.lit(MIN_LANGUAGE_SCORE), F.least(F.lit(LONG_LANGUAGE_SCORE), LONG_LANGUAGE_SCORE * rise))
+    n = F.aggregate(words, F.lit(0), lambda total, w: total + F.length(w) + 1) - 1
+    bound = F.lit(LEAST_SCORE[-1][1])
+    for (a, low), (b, high) in reversed(list(zip(LEAST_SCORE, LEAST_SCORE[1:]))):
+        bound = F.when(n < b, low + (high - low) / (b - a) * (n - a)).otherwise(bound)
+    return F.when(n <= LEAST_SCORE[0][0], LEAST_SCORE[0][1]).otherwise(bound)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the texts that are in a learned language; letterless and null texts go."""
+    """Keeps the texts that are in a learned language; letterless and null texts go. Each row is
+    judged by itself, so repeated rows and rows without an id share its fate."""
     profiles = language_id.fit(language_id.training_fold(table(spark, sf_dir, "documents")))
     scored = language_id.predict(docs, profiles, keep=tuple(docs.columns))
-    enough = (F.col("score") >= LONG_LANGUAGE_SCORE) | (F.col("score") >= least_score(F.col("text")))
+    enough = (F.col("score") >= LEAST_SCORE[-1][1]) | (F.col("score") >= least_score(F.col("text")))
     return scored.filter((F.col("lang_pred") != "und") & enough).select(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the texts that are not predicted toxic."""
+    """Keeps the texts that are not predicted toxic, row by row."""
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), toxicity.training_rows())
     return toxicity.score(docs, model, keep=tuple(docs.columns)).filter("predicted = 0").select(*docs.columns)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest id."""
-    found = ngram_join.similar_components(docs)
-    keep = found.filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select(*docs.columns)
+    """Keeps one row of each group of equal or near texts: the one with the smallest id; of rows
+    that share it, or of a group without ids, the smallest row. Empty texts all stay."""
+    return ngram_join.keep_one(docs)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the texts that cover a benchmark item."""
-    return benchmark_tiling.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Drops the rows whose text covers a benchmark item, whatever their id."""
+    return benchmark_tiling.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of what is left."""
+    """Sampled segmentations of what is left, piece ids included; null texts have none."""
     return sentencepiece_gumbel.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
