@@ -111,6 +111,46 @@ def test_licence_held_out_accuracy():
     assert np.mean(right) > 0.93 and np.mean(exact) > 0.85
 
 
+def test_families_without_a_class_are_not_confirmed():
+    model = license_scan.train([])
+    names = ["Boost Software License 1.0", "European Union Public Licence 1.2", "zlib License", "Eclipse Public License 2.0", "Artistic License 2.0"]
+    frames = ["Licensed under the {}.", "This project is available under the {}.", "License: {}", "The code has the {} now."]
+    found = [f for n in names for frame in frames for f in model.scan(frame.format(n))]
+    assert not any(confirmed for *_, confirmed, _ in found) and len(found) <= 3
+
+
+def test_warranty_paragraphs_and_wordings_never_trained():
+    model = license_scan.train([])
+    texts = {
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "MIT",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.': "BSD",
+        "Our tools carry the MIT License since May.": "MIT", "Everything here falls under the Apache License, Version 2.0, as before.": "Apache-2.0",
+    }
+    assert [[(r[1], r[4]) for r in model.scan(t)] for t in texts] == [[(f, True)] for f in texts.values()]
+
+
+def test_licence_scan_equals_a_slow_one(spark):
+    rng = random.Random(22)
+    texts = odd_texts(rng) + license_scan.generated(rng, 3)[0] + [f"{prose(rng, 300)}. {t}; {prose(rng, 90)}" for t in license_scan.generated(rng, 1)[0]]
+    model = license_scan.train([prose(rng, 20) for _ in range(300)])
+    want = set()
+    for i, t in enumerate(texts):
+        for n, p in enumerate(license_scan.paragraphs(t)):
+            w = license_scan.words_of(p)
+            grams = {b" ".join(w[a:b]) for a in range(len(w)) for b in range(a + 1, min(len(w), a + 3) + 1)}
+            known = [g for g in grams if g in model.features and any(x in model.vocabulary for x in g.split(b" "))]
+            z = (sum((model.weights[model.features[g]] for g in known), np.zeros(len(model.classes))) / math.sqrt(max(1, len(known))) + model.bias) / model.temperature
+            prob = np.exp(z) / np.exp(z).sum()
+            if known and model.classes[prob.argmax()] != "unknown" and prob.max() >= license_scan.MIN_PROBABILITY:
+                want.add((i, n, model.classes[prob.argmax()], round(float(prob.max()), 4)))
+    df = docs(spark, texts, extra=("paragraph_text", "probability", "paragraph"))
+    got = license_scan.scan(df, model).collect()
+    assert {(r.doc_id, r.paragraph, r.family, round(r.probability, 4)) for r in got} == want and len(got) > 30
+    assert license_scan.scan(df.limit(0), license_scan.fit(df.limit(0))).count() == 0
+    twice = license_scan.scan(df.unionByName(df), model).count()
+    assert twice == 2 * len(got)
+
+
 # ---------------------------------------------------------------- 3
 
 
