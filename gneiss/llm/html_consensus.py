@@ -6,12 +6,15 @@ above the text and for signs of boilerplate in its tag, class or id. The best el
 for its generalised path (tags with classes, digits dropped) on its host; Spark sums the votes
 per host, and each page is read again with its host's winning path, or with its own best
 element where the path does not occur. Script, style, navigation, headers, footers, sidebars,
-forms, notices, adverts and comments inside the chosen element are left out.
+forms, notices, adverts and comments inside the chosen element are left out; of a header inside
+an article its headings stay, and captions do.
 
 Text: character references decoded, white space inside a block (line breaks included) as one
 space, blocks trimmed, empty blocks dropped, joined by one newline. Null or empty html gives an
 empty text. A page without any article-like element gives the text of its body without
-boilerplate. Pages without a host vote together."""
+boilerplate. Pages without a host vote together; ties between paths go to the shorter, then to
+the last by name. A tag that never ends is text. Repeated rows give the same text, and columns that
+clash with the new ones give way."""
 
 from __future__ import annotations
 
@@ -29,12 +32,14 @@ MAX_BROADCAST_HOSTS = 50_000
 #: Parts that each host's pages are dealt to in that shuffle.
 SALTS = 32
 
+# A quote opens a value only behind an equals sign; groups never give back what they took, so that
+# broken tags cost linear time.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)>",
     re.DOTALL,
 )
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTR = re.compile(r"""([^\s"'<>/=][^\s<>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "select", "object")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -79,10 +84,18 @@ def boilerplate(names: str) -> int:
 
 
 class Node:
-    __slots__ = ("tag", "name", "parent", "drop", "likely", "plus")
+    """``drop``: left out; ``soft``: only as a header inside an article, whose headings stay."""
+
+    __slots__ = ("tag", "name", "parent", "drop", "likely", "plus", "inside", "soft")
 
     def __init__(self, tag, name, parent, drop, likely, plus):
-        self.tag, self.name, self.parent, self.drop, self.likely, self.plus = tag, name, parent, drop, likely, plus
+        self.tag, self.name, self.parent, self.likely, self.plus = tag, name, parent, likely, plus
+        self.inside = tag == "article" or bool(parent and parent.inside)
+        above = bool(parent and parent.drop)
+        self.soft = (tag == "header" and self.inside and not above) or (above and parent.soft and not drop)
+        self.drop = drop or above
+        if self.soft and tag in _HEADINGS:
+            self.drop = self.soft = False
 
 
 class Page:
@@ -107,7 +120,8 @@ class Page:
                     sizes[id(up)] = sizes.get(id(up), 0) + len(text)
                     up = up.parent
         for node in self.nodes:
-            node.drop = node.drop or node.parent.drop or (node.likely and 2 * sizes.get(id(node), 0) <= total)
+            kept = node.tag in _HEADINGS and node.parent.soft
+            node.drop = node.drop or (node.parent.drop and not kept) or (node.likely and 2 * sizes.get(id(node), 0) <= total)
 
     def _read(self, source: str) -> None:
         root = Node("", "", None, False, False, 0)
@@ -219,7 +233,7 @@ class Page:
                 if up is not None and up.tag == tag:
                     node = up.parent
             label = tag + "".join("." + _DIGITS.sub("", w) for w in sorted(words.split()))
-            node = Node(tag, label, node, drop or node.drop, kind == 1, 1 if words and _KEEP_WORDS.search(words) else 0)
+            node = Node(tag, label, node, drop, kind == 1, 1 if words and _KEEP_WORDS.search(words) else 0)
             self.nodes.append(node)
             if attrs.rstrip().endswith("/") and tag not in _CONTAINERS:
                 node = node.parent

@@ -489,6 +489,73 @@ def test_layout_names_and_captions_stay(page):
     assert html_consensus.extract(page, None) == "one\ntwo"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><article title=it's class=\"shareholders\"><p data-x='a>b'>one</p><p title=\"x>y\" lang=en>two</p></article></body>",
+        "<body><nav title=don't><a href=/>no</a></nav><article><p class=commentary>one</p><p onclick=a='b'>two</p></article></body>",
+        "<body><header><h1>Site</h1></header><article><header><h1>one</h1><p class=byline>by x</p></header><p>two</p></article></body>",
+        "<body><article><header class=entry><div><h2>one</h2></div></header><p>two</p><footer><h3>no</h3></footer></article></body>",
+    ],
+)
+def test_attributes_and_headers(page):
+    assert html_consensus.extract(page, None) == "one\ntwo"
+
+
+def test_broken_pages_end():
+    for page in ("<p class=" * 3000, "<p a='" + "x" * 200_000, "<" * 50_000, "<a b=\"c' " * 20_000 + ">", "<div>" * 3000 + "x", "</p>" * 5000):
+        assert isinstance(html_consensus.extract(page, None), str)
+
+
+def generated_page(rng):
+    """A page and its main text, made block by block."""
+    word = lambda: rng.choice(["alpha", "beta", "gamma;", "delta.", "x&amp;y", "caf&eacute;", "3 &lt; 4", "&#8212;", "&nbsp;z"])
+    plain = {"x&amp;y": "x&y", "caf&eacute;": "café", "3 &lt; 4": "3 < 4", "&#8212;": "—", "&nbsp;z": "z"}
+    attrs = lambda: rng.choice(["", " class=lead", " title=it's", ' id="a>b"', " data-n='1' hidden-x=\"q\"", ' style="overflow:hidden"'])
+    blocks, html = [], []
+
+    def block(tag):
+        words = [word() for _ in range(rng.randint(4, 30))]
+        spaced = [rng.choice([w, f"<b>{w}</b>", f"<a href=/x{attrs()}>{w}</a>", f"<em>{w}</em>", f"<span{attrs()}>{w}</span>"]) for w in words]
+        text = rng.choice([" ", "  ", "\n", "\t"]).join(spaced)
+        blocks.append(" ".join(" ".join(plain.get(w, w) for w in words).split()))
+        return f"<{tag}{attrs()}>{text}</{tag}>" if rng.random() < 0.8 or tag != "p" else f"<p{attrs()}>{text}"
+
+    for _ in range(rng.randint(4, 25)):
+        kind = rng.randrange(8)
+        if kind == 0:
+            html.append("<ul>" + "".join(block("li") for _ in range(rng.randint(1, 4))) + "</ul>")
+        elif kind == 1:
+            html.append("<figure><img src=a.png alt='b>c'>" + block("figcaption") + "</figure>")
+        elif kind == 2:
+            html.append(f"<div{attrs()}>" + block("p") + "</div>")
+        elif kind == 3:
+            html.append("<blockquote>" + block("p") + "</blockquote>")
+        else:
+            html.append(block(rng.choice(["p", "p", "p", "h2", "h3", "pre"])))
+        if rng.random() < 0.3:
+            html.append(rng.choice(["<!-- <p>no</p> -->", "<script>if (a<b) { '</p>' }</script>", "<style>p{}</style>", "<aside>no</aside>", "<div class=ad>no</div>", "<form><p>no</p><input value='>'></form>", "<p hidden>no</p>"]))
+    around = rng.choice(["article", "main", 'div class="post-body"', 'div id=content class="with-sidebar overflow-hidden"'])
+    page = f"<html><head><title>no</title></head><body class='no-js'><header><nav><a href=/>no</a></nav></header><{around}>{''.join(html)}</{around.split()[0]}><section class='comments'><p>no no no</p></section><footer>no</footer></body></html>"
+    return page, "\n".join(blocks)
+
+
+def test_generated_pages_give_their_blocks():
+    rng = random.Random(31)
+    for _ in range(300):
+        page, want = generated_page(rng)
+        assert html_consensus.extract(page, html_consensus.vote(page)[0]) == want
+    long = "<article>" + "".join(f"<p>paragraph {i} of a long page</p>" for i in range(30_000)) + "</article>"
+    assert html_consensus.extract(long, None).count("\n") == 29_999
+
+
+def test_ties_between_paths_and_repeated_pages(spark):
+    a, b = "<article class=x><p>one text here</p></article>", "<article class=yy><p>one text here</p></article>"
+    df = spark.createDataFrame([(i, "http://h/p", p) for i, p in enumerate([a, b, a, b])], "page_id long, url string, html string")
+    assert [r.path for r in html_consensus.host_paths(df).collect()] == ["article.x"]
+    assert {r.text for r in html_consensus.extract_main_text(df).collect()} == {"one text here"}
+
+
 # ---------------------------------------------------------------- pipeline and SQL
 
 
