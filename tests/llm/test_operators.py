@@ -375,6 +375,23 @@ def test_token_counts_equal_the_library(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 2048)
 
 
+def test_code_points_count_as_in_the_library():
+    """Every assigned plane in steps, and all that Python's and the expression library's tables lack."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.TokenCounter(path)
+    points = [*range(0, 0x20000, 7), *range(0x20000, 0x110000, 1999), *token_counts._CAPITALS, 0x32808, 0x3285C, 0x32988, 0x3D808, 0x3F988]
+    texts = [f"x{chr(i)}y {chr(i)}" for i in points if not 0xD800 <= i < 0xE000]
+    assert counter.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_no_rows_to_count_or_sample(spark):
+    empty = docs(spark, [])
+    assert token_counts.count_tokens(empty, tokenizer_path("word_bpe_49k.json")).count() == 0
+    assert sentencepiece_gumbel.sample_segmentations(empty, tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
 # ---------------------------------------------------------------- 8
 
 
