@@ -55,7 +55,7 @@ BLOCK = 2048
 #: Partners of a set that are verified in one task.
 PARTNERS = 256
 #: Rows that a semi-join broadcasts at most; beyond that it shuffles.
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 1_000_000
 #: Bytes of text that are hashed at once, but for longer words.
 CHUNK = 1 << 20
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -437,15 +437,15 @@ def _late_links(again: DataFrame, links: DataFrame, classes: _Classes, similarit
     open_lists = entries.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     # Followers fold into their leader; the sizes of a fold are within one bucket of size.
     bucket = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    folded = entries.join(open_lists, "token", "left_semi").withColumn("bucket", bucket).groupBy("token", "bucket", "leader", "component")
+    folded = entries.join(_small(cut(open_lists)), "token", "left_semi").withColumn("bucket", bucket).groupBy("token", "bucket", "leader", "component")
     folded = cut(folded.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos")))
     held = cut(folded.groupBy("token", "bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     # Sizes that link are in one bucket or in neighbours, so an entry meets its own bucket's and the next one's blocks.
     own = folded.withColumn("up", F.lit(0)).unionByName(folded.withColumn("up", F.lit(1)))
     there = held.withColumn("up", F.lit(0)).unionByName(held.withColumn("bucket", F.col("bucket") - 1).withColumn("up", F.lit(1)))
     there = there.withColumnRenamed("blocks", "theirs")
-    here = held.select("token", "bucket", "blocks")
-    lower = own.join(here, ["token", "bucket"]).join(there, ["token", "bucket", "up"])
+    here = _small(held.select("token", "bucket", "blocks"))
+    lower = own.join(here, ["token", "bucket"]).join(_small(there), ["token", "bucket", "up"])
     mine = F.pmod(F.xxhash64("leader"), F.col("blocks")).cast("int")
     target = ["token", "key", "leader", "component", "least", "most", "pos", "half"]
     block_key = lambda low, x, y: F.xxhash64("token", low, "up", x, y)
@@ -454,7 +454,7 @@ def _late_links(again: DataFrame, links: DataFrame, classes: _Classes, similarit
     lower = lower.withColumn("half", F.when(F.col("up") == 1, 0).otherwise(same)).withColumn(
         "key", F.when(F.col("up") == 1, block_key("bucket", "mine", "other")).otherwise(block_key("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
     ).select(*target)
-    below = held.select("token", (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("theirs"))
+    below = _small(held.select("token", (F.col("bucket") + 1).alias("bucket"), F.col("blocks").alias("theirs")))
     upper = folded.withColumn("up", F.lit(1)).join(here, ["token", "bucket"]).join(below, ["token", "bucket"])
     upper = upper.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1))).withColumn("half", F.lit(1))
     upper = upper.withColumn("key", block_key(F.col("bucket") - 1, "other", "mine")).select(*target)
