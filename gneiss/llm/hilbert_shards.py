@@ -7,11 +7,13 @@ curve (Skilling's transform); rows sorted along it and cut into runs of equal le
 shards whose files have narrow ranges in every dimension, so range filters on any of them
 skip files.
 
-No row is ever ranked in one task: rows are counted per cell and sub-cell (the id modulo
-SUB), cells are summed up per block of the curve, blocks over the whole, and a row's place is
-the sum of those offsets and its rank in its own sub-cell. The law is ``rows``: shard sizes
-differ by at most one. A null in a dimension is bin 0; a null text has no bytes (size 1,
-crc32 0); rows that are equal in all that is ordered by take neighbouring places."""
+Rows are not ranked over the table, a shard or a cell: a cell of the curve is cut into sub-cells of about
+ROWS rows by a mixed id, rows are counted per sub-cell, sub-cells are summed up per block of the
+curve, blocks over the whole, and a row's place is the sum of those offsets and its rank in its
+own sub-cell. Only rows that are equal in id stay in one sub-cell whatever their number. The law is
+``rows``: shard sizes differ by at most one. A null in a dimension is bin 0, a null id sub-cell 0;
+a null text has no bytes (size 1, crc32 0); rows that are equal in all that is ordered by take
+neighbouring places; an empty table has no shards."""
 
 from __future__ import annotations
 
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import col
 
 BITS = 4
-SUB = 64
+#: Rows that a sub-cell has on average at most.
+ROWS = 4096
 SHARDS = 16
 #: Curve cells (a fixed number of blocks at any size) whose counts are added up together.
 BLOCK_BITS = 8
@@ -70,6 +73,12 @@ def hilbert(df: DataFrame, coordinates: list[Column], name: str, bits: int = BIT
     return df.withColumn("_x", F.array(*coordinates)).withColumn(name, F.expr(whole)).drop("_x")
 
 
+def _mixed(id_col: str) -> Column:
+    """A number that spreads ids evenly, whatever their spacing (a step of a Lehmer generator)."""
+    prime = F.lit((1 << 31) - 1).cast("long")
+    return F.pmod(F.pmod(col(id_col).cast("long"), prime) * 48271, prime)
+
+
 def shard(
     df: DataFrame,
     shards: int = SHARDS,
@@ -77,9 +86,15 @@ def shard(
     id_col: str = "doc_id",
     text_col: str = "text",
     bits: int = BITS,
+    whole: bool = False,
 ) -> DataFrame:
-    """One row per row: id, size, text_crc32, law, shard, slot, grown_shard (null), curve."""
-    where = hilbert(df, bins(df, dimensions, bits), "_h", bits).withColumn("_sub", F.coalesce(F.pmod(col(id_col).cast("long"), F.lit(SUB)), F.lit(0)))
+    """One row per row: id, size, text_crc32, law, shard, slot, grown_shard (null), curve; with
+    ``whole`` also the row itself as the struct ``row``."""
+    where = hilbert(df, bins(df, dimensions, bits), "_h", bits)
+    cells = where.groupBy("_h").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("long").alias("_parts"))
+    # At most 2**(bits * dimensions) cells, whatever the table.
+    cells = F.broadcast(cells) if bits * len(dimensions) <= 20 else cells
+    where = where.join(cells, "_h").withColumn("_sub", F.coalesce(_mixed(id_col) % F.col("_parts"), F.lit(0)))
     counts = where.groupBy("_h", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     coarse = F.shiftright("_h", max(0, bits * len(dimensions) - BLOCK_BITS))
     counts = counts.withColumn("_block", coarse)
@@ -100,6 +115,7 @@ def shard(
         F.coalesce(F.crc32(col(text_col).cast("binary")), F.lit(0)).cast("long").alias("_crc"),
         "_h",
         "_sub",
+        *([F.struct(*[col(c) for c in df.columns]).alias("_row")] if whole else []),
     )
     rank = F.row_number().over(Window.partitionBy("_h", "_sub").orderBy("_id", "_crc", "_size")) - 1
     placed = rows.join(offsets, ["_h", "_sub"]).withColumn("_at", rank + F.col("_before"))
@@ -113,13 +129,15 @@ def shard(
         F.expr(f"_at - (cast(_shard as bigint) * _all + {shards - 1}) div {shards}").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("_h").alias("curve"),
+        *([F.col("_row").alias("row")] if whole else []),
     )
 
 
-def write_shards(df: DataFrame, path: str, **options) -> None:
-    """The rows of ``df`` as Parquet files by shard, sorted along the curve; one task a shard
-    and at most ``spark.sql.files.maxRecordsPerFile`` rows a file. The id must be unique."""
-    id_col = options.get("id_col", "doc_id")
-    placed = shard(df, **options).select(col(id_col), "shard", "slot")
-    out = df.join(placed, id_col).repartition("shard").sortWithinPartitions("shard", "slot")
-    out.drop("slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+def write_shards(df: DataFrame, path: str, rows_per_task: int = 1_000_000, **options) -> None:
+    """The rows of ``df`` as Parquet files by shard, sorted along the curve. A shard is written by
+    a task for each run of ``rows_per_task`` slots, so its files keep narrow ranges."""
+    placed = shard(df, whole=True, **options).select("row", "shard", "slot", F.expr(f"slot div {rows_per_task}").alias("_run"))
+    width = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), options.get("shards", SHARDS))
+    out = placed.repartition(width, "shard", "_run").sortWithinPartitions("shard", "slot")
+    own = [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() != "shard"]
+    out.select(*own, "shard").write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -95,7 +95,7 @@ def _hilbert_sql(n: int = 4, bits: int = 4) -> str:
             new0 = f"CASE WHEN (x{i} & {q}) <> 0 THEN xor(x0, {q - 1}) ELSE xor(x0, xor(x0, x{i}) & {q - 1}) END"
             newi = f"CASE WHEN (x{i} & {q}) <> 0 THEN x{i} ELSE xor(x{i}, xor(x0, x{i}) & {q - 1}) END"
             sets = [f"{new0} AS x0"] + [f"{newi if j == i else f'x{j}'} AS x{j}" for j in range(1, n)]
-            cte.append(f"s{k} AS (SELECT doc_id, size, crc, sub, {', '.join(sets)} FROM {prev})")
+            cte.append(f"s{k} AS (SELECT doc_id, size, crc, mixed, {', '.join(sets)} FROM {prev})")
             prev, k = f"s{k}", k + 1
     gray = []
     for i in range(n):
@@ -103,13 +103,13 @@ def _hilbert_sql(n: int = 4, bits: int = 4) -> str:
         for j in range(1, i + 1):
             e = f"xor({e}, x{j})"
         gray.append(f"{e} AS g{i}")
-    cte.append(f"gray AS (SELECT doc_id, size, crc, sub, {', '.join(gray)} FROM {prev})")
+    cte.append(f"gray AS (SELECT doc_id, size, crc, mixed, {', '.join(gray)} FROM {prev})")
     flip = "0"
     for b in range(bits - 1, 0, -1):
         flip = f"xor({flip}, CASE WHEN (g{n - 1} & {1 << b}) <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
     cte.append(f"flip AS (SELECT *, {flip} AS t FROM gray)")
     index = " + ".join(f"(((xor(g{i}, t) >> {b}) & 1)::BIGINT << {b * n + n - 1 - i})" for b in range(bits) for i in range(n))
-    cte.append(f"curved AS (SELECT doc_id, size, crc, sub, {index} AS curve FROM flip)")
+    cte.append(f"curved AS (SELECT doc_id, size, crc, mixed, {index} AS curve FROM flip)")
     return ",\n".join(cte)
 
 
@@ -123,21 +123,23 @@ WITH crc_table AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size,
     xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
       lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS crc,
-    coalesce(((doc_id % 64) + 64) % 64, 0) AS sub,
+    ((doc_id % 2147483647 + 2147483647) % 2147483647) * 48271 % 2147483647 AS mixed,
     ('0x' || rpad(substr(hex(encode(lang)), 1, 12), 12, '0'))::BIGINT AS klang,
     ('0x' || rpad(substr(hex(encode(source)), 1, 12), 12, '0'))::BIGINT AS ksource, n_chars
   FROM documents, crc_table
 ), ends AS (
   SELECT min(klang) AS l0, max(klang) AS l1, min(ksource) AS s0, max(ksource) AS s1, min(doc_id) AS d0, max(doc_id) AS d1 FROM keyed
 ), binned AS (
-  SELECT doc_id, size, crc, sub,
+  SELECT doc_id, size, crc, mixed,
     coalesce(least(floor((klang::DOUBLE - l0::DOUBLE) / (l1::DOUBLE - l0::DOUBLE + 1.0::DOUBLE) * 16)::INT, 15), 0) AS x0,
     coalesce(least(floor((ksource::DOUBLE - s0::DOUBLE) / (s1::DOUBLE - s0::DOUBLE + 1.0::DOUBLE) * 16)::INT, 15), 0) AS x1,
     CASE WHEN n_chars > 0 THEN least(length(bin(n_chars)), 15)::INT ELSE 0 END AS x2,
     coalesce(least(floor((doc_id::DOUBLE - d0::DOUBLE) / (d1::DOUBLE - d0::DOUBLE + 1.0::DOUBLE) * 16)::INT, 15), 0) AS x3
   FROM keyed, ends
-), {_hilbert_sql()}, placed AS (
-  SELECT *, row_number() OVER (ORDER BY curve, sub, doc_id NULLS FIRST, crc, size) - 1 AS place, count(*) OVER () AS n FROM curved
+), {_hilbert_sql()}, celled AS (
+  SELECT *, coalesce(mixed % ((count(*) OVER (PARTITION BY curve) + 4095) // 4096), 0) AS sub FROM curved
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY curve, sub, doc_id NULLS FIRST, crc, size) - 1 AS place, count(*) OVER () AS n FROM celled
 ), cut AS (SELECT *, (place * 16 // n)::INT AS shard FROM placed)
 SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard, (place - (shard * n + 15) // 16)::BIGINT AS slot,
   NULL::INT AS grown_shard, curve

@@ -65,6 +65,21 @@ def test_written_shards_read_back(spark, tmp_path):
     assert back.count() == 40 and [r["count"] for r in back.groupBy("shard").count().collect()] == [10] * 4
 
 
+def test_shards_of_one_cell_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_shards, "ROWS", 8)
+    df = spark.range(1000).select((F.col("id") * 64).alias("doc_id"), F.lit("x").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    got = hilbert_shards.shard(df, dimensions=(("lang", "prefix"), ("source", "prefix"))).toPandas()
+    assert got.curve.nunique() == 1 and sorted(got.doc_id) == [64 * i for i in range(1000)]
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard")) and set(got.groupby("shard").size()) == {62, 63}
+
+
+def test_written_shards_keep_repeated_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x", "en", "s", 1)] * 30 + [(None, None, None, None, None)] * 2, DOCS)
+    hilbert_shards.write_shards(df, f"file://{tmp_path}/r", rows_per_task=2, shards=4)
+    back = spark.read.parquet(f"file://{tmp_path}/r")
+    assert back.count() == 32 and [r["count"] for r in back.groupBy("shard").count().collect()] == [8] * 4
+
+
 # ---------------------------------------------------------------- 2
 
 
