@@ -50,8 +50,8 @@ MARK = "▁"
 ALPHA = 1.5
 SAMPLES = 3
 #: Arcs that a worker remembers before it starts anew, and characters worked on at once.
-MEMO = 5_000_000
-CHARS = 400_000
+MEMO = 3_000_000
+CHARS = 300_000
 REDRAWS = 3
 _U64 = np.uint64
 _SLOTS = 21
@@ -542,9 +542,13 @@ class GumbelSampler:
                 yield first, i + 1, self._sample(texts[first : i + 1], keys[first : i + 1], k)
                 first, size = i + 1, 0
 
+    def forget(self) -> None:
+        """Drops the units met so far; the worker may serve other operators next."""
+        self.index, self.lattices = _Index(), Lattices.pool(self.tables)
+
     def _sample(self, texts, keys, k) -> Drawn:
         if len(self.lattices.to) > MEMO:
-            self.index, self.lattices = _Index(), Lattices.pool(self.tables)
+            self.forget()
         index, lattices, known = self.index, self.lattices, len(self.index)
         split = [list(map(index.__getitem__, self.units(t))) if t else [] for t in texts]
         if len(index) > known:
@@ -697,6 +701,7 @@ def sample_segmentations(
                         ],
                         names=names,
                     )
+        s.forget()
 
     return src.mapInArrow(run, T.StructType(fields))
 

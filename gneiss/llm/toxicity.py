@@ -11,7 +11,7 @@ fourth power of their cosine, shrunk towards the base rate, and the vote is mapp
 probability by isotonic regression over leave-one-out votes of the examples.
 
 Terms are selected because the cosine over all words does not tell the label: over 170,629 words of
-sf0.1 the nearest texts share chance vocabulary (recall 0.56 at a precision of 0.9, at best).
+sf0.1 the nearest texts share chance vocabulary (at best 0.56 of the toxic texts are found at a precision of 0.9).
 
 Null, empty or wholly unknown texts have no vector and get the rate of examples without one, as
 do all texts where there are no labels or no rows to learn from. Repeated rows get the same
