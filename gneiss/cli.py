@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, say=p
             return ingest(spark, config, store, args.name, args.all, args.recreate, args.prune, args.yes, agree, say)
         if args.command == "search":
             found = engine.search(args.query, args.collection, args.top_k, args.min_score, None if args.collection else "docs")
-            say("\n\n".join(map(format_panel, found)) if found else "No results found.")
+            say("\n\n".join(map(format_panel, found)) if found else "Nothing found.")
         elif args.command == "sources":
             say(engine.list_sources())
         elif args.command == "explain":

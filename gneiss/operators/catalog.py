@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 LEGACY_MODEL = "ollama:nomic-embed-text"
 LEGACY_DIMENSIONS = 768
 CODE_PREFIX = "code."
-REGISTRY = "recall-meta"
+REGISTRY = "gneiss-meta"
 
 
 def counts(collections: DataFrame, points: DataFrame) -> DataFrame:
@@ -34,19 +34,24 @@ def model_check(collections: DataFrame, meta: DataFrame, model_id: str) -> DataF
     return collections.join(meta.select("collection", "model_id"), "collection", "left").select("collection", stored.alias("model_id"), (stored != model_id).alias("mismatch"))
 
 
-def source_lines(projects: DataFrame, counted: DataFrame, meta: DataFrame, configured: str | None = None) -> DataFrame:
-    """Projects (name, collection, kind, repo_name) with a line of text on what is indexed."""
+def source_lines(projects: DataFrame, counted: DataFrame, meta: DataFrame) -> DataFrame:
+    """Projects (name, collection, kind, repo_name) with a line of text on what is indexed.
+
+    With the columns ``configured`` (the project's own model) and ``problem`` (why its provider
+    can't be had) the line also tells a mismatch, and what to do."""
     joined = projects.join(counted, "collection", "left").join(meta, "collection", "left")
     label = F.format_string("- %s (%s, repo %s)", "collection", "kind", "repo_name")
     model = F.coalesce("model_id", F.lit(f"{LEGACY_MODEL} (legacy, no record)"))
     details = [F.format_string("%d points", "points"), F.concat(F.lit("model "), model), F.when(F.col("files").isNotNull(), F.format_string("%d files", "files"))]
     if "indexed_at" in meta.columns:
         details.append(F.concat(F.lit("indexed "), F.coalesce("indexed_at", F.lit("at unknown time"))))
-    if configured:
-        wrong = F.coalesce("model_id", F.lit(LEGACY_MODEL)) != configured
-        note = F.concat(F.lit(f"MODEL MISMATCH (configured {configured}), run ingest "), F.col("name"), F.lit(" --recreate"))
-        details.append(F.when(wrong, note))
-    text = F.when(F.col("points").isNull(), F.concat(label, F.lit(": not indexed yet"))).otherwise(F.concat(label, F.lit(": "), F.concat_ws(", ", *details)))
+    missing = F.lit(": not indexed yet")
+    if "configured" in projects.columns:
+        wrong = F.col("configured").isNotNull() & (F.coalesce("model_id", F.lit(LEGACY_MODEL)) != F.col("configured"))
+        details.append(F.when(wrong, F.concat(F.lit("other model than the configured "), F.col("configured"), F.lit(": ingest "), F.col("name"), F.lit(" with --recreate"))))
+        details.append(F.concat(F.lit("no embedding provider: "), F.col("problem")))
+        missing = F.concat(missing, F.lit(", ingest "), F.col("name"), F.coalesce(F.concat(F.lit(" (no embedding provider: "), F.col("problem"), F.lit(")")), F.lit("")))
+    text = F.when(F.col("points").isNull(), F.concat(label, missing)).otherwise(F.concat(label, F.lit(": "), F.concat_ws(", ", *details)))
     return joined.withColumn("line", text)
 
 

@@ -114,7 +114,7 @@ def test_ingest_reconciles_and_search_finds(spark, store, tree):
     found = engine.search("delta", kind="docs")
     assert found[0].text == "# J\n\ndelta" and found[0].breadcrumb == ["J"]
     assert "### [docs] pkg/__init__.md:5-7" in engine.search_docs("delta")
-    assert engine.search("delta", "nowhere") == [] and engine.search_docs("x", "code.svc").startswith("'code.svc' is a code")
+    assert engine.search("delta", "nowhere") == [] and engine.search_docs("x", "code.svc").startswith("'code.svc' holds code")
     assert engine.list_sources().startswith("- docs (docs, repo docs): 2 points, model hash:32, 2 files, indexed ")
 
 
@@ -144,9 +144,9 @@ def test_prune_needs_consent_and_no_failure(spark, store, tree):
 
 
 def test_command_line(spark, tree, tmp_path):
-    (tmp_path / "recall.toml").write_text(f'[embedding]\nprovider = "hash"\nmodel = "16"\n[[projects]]\nname = "docs"\npath = "{tree}"\ncollection = "docs"\n')
+    (tmp_path / "gneiss.toml").write_text(f'[embedding]\nprovider = "hash"\nmodel = "16"\n[[projects]]\nname = "docs"\npath = "{tree}"\ncollection = "docs"\n')
     said = []
-    run = lambda *a: main(["--config", str(tmp_path / "recall.toml"), "--store", f"file://{tmp_path}/s", *a], spark, said.append)
+    run = lambda *a: main(["--config", str(tmp_path / "gneiss.toml"), "--store", f"file://{tmp_path}/s", *a], spark, said.append)
     assert run("ingest", "docs") == 0 and run("search", "alpha") == 0 and "[docs] a.md:1-3" in "\n".join(said)
     assert run("collections", "list") == 0 and "docs: 4 points" in said
     assert run("collections", "drop", "docs", "--yes") == 0 and run("collections", "drop", "docs") == 1
@@ -207,14 +207,14 @@ def test_retries_and_order():
 def home(tmp_path, monkeypatch):
     monkeypatch.setenv("HOME", str(tmp_path / "home"))
     for k in ("BASE_URL", "PROVIDER", "MODEL", "API_KEY_ENV", "BATCH_SIZE"):
-        monkeypatch.delenv("RECALL_EMBEDDING_" + k, raising=False)
-    monkeypatch.delenv("RECALL_TRUSTED_HOSTS", raising=False)
+        monkeypatch.delenv("GNEISS_EMBEDDING_" + k, raising=False)
+    monkeypatch.delenv("GNEISS_TRUSTED_HOSTS", raising=False)
     return tmp_path
 
 
 def load(folder, text):
-    (folder / "recall.toml").write_text(text)
-    return conf.load(folder / "recall.toml")
+    (folder / "gneiss.toml").write_text(text)
+    return conf.load(folder / "gneiss.toml")
 
 
 def test_config_defaults_and_families(home):
@@ -224,7 +224,7 @@ def test_config_defaults_and_families(home):
     c = load(home, f'[[projects]]\nname = "p"\npath = "{home}"\ncollection = "c"\n[[sources]]\nroot = "{home}/ctx/docs"\n[[repos]]\nroot = "{home}/svc"\nglobs = ["**/*.go"]\n')
     assert [(p.name, p.collection, p.kind) for p in c.all_projects()] == [("p", "c", "docs"), ("ctx.auth", "ctx.auth", "docs"), ("svc", "code.svc", "code")]
     assert c.for_collection("svc").globs == ("**/*.go",) and c.prefixes() == {"ctx"} and c.embedding.model == "nomic-embed-text"
-    assert conf.find(home) == home / "recall.toml"
+    assert conf.find(home) == home / "gneiss.toml"
 
 
 @pytest.mark.parametrize(
@@ -237,8 +237,8 @@ def test_local_files_may_not_name_hosts(home, table):
 
 
 def test_trusted_hosts(home, monkeypatch):
-    monkeypatch.setenv("RECALL_TRUSTED_HOSTS", "good.example")
-    assert load(home, '[embedding]\nprovider = "openai"\nbase_url = "https://good.example/v1"\n').embedding.api_key_env == "OPENAI_API_KEY"
+    monkeypatch.setenv("GNEISS_TRUSTED_HOSTS", "good.example")
+    assert load(home, '[embedding]\nprovider = "openai"\nbase_url = "https://good.example/v1"\n').embedding.api_key_env == "GNEISS_EMBEDDING_API_KEY"
     with pytest.raises(conf.ConfigError, match="plain http"):
         load(home, '[embedding]\nprovider = "openai"\nbase_url = "http://good.example/v1"\n')
 
