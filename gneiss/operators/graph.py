@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 MODULE_RELATIONS = ["calls", "imports", "imports_from", "inherits"]
 SYMBOL_RELATIONS = ["calls", "imports", "inherits"]
 RELATED_MAX = 10
+#: Lines of a file that are one key of the range match.
+STRETCH = 64
+#: Parts that a node's neighbours are ranked in before the best of all parts are.
+SALTS = 16
 
 
 def plain_label(label: Column) -> Column:
@@ -34,12 +38,12 @@ def placed_nodes(nodes: DataFrame, root: str = "") -> DataFrame:
 
 def qualified_names(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(id, qualified): the label, or Owner.member where a ``method`` link gives an owner (the
-    last such link wins)."""
+    last such link wins, of links with one ordinal the last owner by name)."""
     known = nodes.select("id", "qualified")
     owners = (
         links.filter("relation = 'method'")
         .join(known.select(F.col("id").alias("source"), F.col("qualified").alias("owner")), "source")
-        .groupBy("target").agg(F.max_by("owner", "ordinal").alias("owner"))
+        .groupBy("target").agg(F.max(F.struct("ordinal", "owner"))["owner"].alias("owner"))
     )
     return known.join(owners.withColumnRenamed("target", "id"), "id", "left").select(
         "id", F.when(F.col("owner").isNotNull(), F.concat_ws(".", "owner", "qualified")).otherwise(F.col("qualified")).alias("qualified")
@@ -59,8 +63,11 @@ def related(nodes: DataFrame, links: DataFrame, relations: list[str], most: int
     both = edges.unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "relation")).distinct()
     named = both.join(qualified_names(nodes, links).withColumnRenamed("id", "target"), "target").filter("qualified <> ''")
     first = named.groupBy("source", "qualified").agg(F.min(F.struct("relation", "target")).alias("place"))
+    # A hub's neighbours are cut to ``most`` in parts first, so that no task ranks them all.
+    part = F.row_number().over(Window.partitionBy("source", "_part").orderBy("place"))
+    some = first.withColumn("_part", F.pmod(F.xxhash64("qualified"), F.lit(SALTS))).withColumn("_r", part).filter(F.col("_r") <= most).drop("_part")
     rank = F.row_number().over(Window.partitionBy("source").orderBy("place"))
-    top = first.withColumn("_r", rank).filter(F.col("_r") <= most)
+    top = some.withColumn("_r", rank).filter(F.col("_r") <= most)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("_r", "qualified"))), lambda x: x["qualified"])
     return top.groupBy("source").agg(ordered.alias("related_symbols")).withColumnRenamed("source", "id")
 
@@ -70,16 +77,17 @@ def match_chunks(chunks: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFr
 
     Windows match nothing, modules their file's node, other kinds the node on their definition
     line, else the first node inside their lines that is not on line 1. The range match joins
-    on the file, so its work is bounded by the nodes of one file."""
+    on the file and a stretch of STRETCH lines, so a file with many nodes is not one key."""
     spots = nodes.filter("line is not null")
     exact = spots.groupBy("file_path", F.col("line").alias("def_line")).agg(F.max_by("id", "ordinal").alias("exact_id"))
     base_name = F.substring_index("file_path", "/", -1)
     files = spots.filter((F.col("line") == 1) & (F.col("label") == base_name)).groupBy("file_path").agg(F.max_by("id", "ordinal").alias("file_id"))
     lookup = chunks.join(exact, ["file_path", "def_line"], "left").join(files, "file_path", "left")
     open_ = lookup.filter("exact_id is null and kind not in ('window', 'module')")
-    inside = spots.filter("line > 1").select("file_path", "line", F.col("id").alias("_id"))
+    inside = spots.filter("line > 1").select("file_path", "line", F.col("id").alias("_id"), F.floor(F.col("line") / STRETCH).alias("_at"))
+    reach = F.sequence(F.floor(F.col("start_line") / STRETCH), F.floor(F.greatest("start_line", "end_line") / STRETCH))
     near = (
-        open_.select(*keys, "file_path", "start_line", "end_line").join(inside, "file_path")
+        open_.select(*keys, "file_path", "start_line", "end_line", F.explode(reach).alias("_at")).join(inside, ["file_path", "_at"])
         .filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
         .groupBy(*keys).agg(F.min(F.struct("line", "_id"))["_id"].alias("near_id"))
     )

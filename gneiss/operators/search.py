@@ -6,10 +6,15 @@ task (TakeOrderedAndProject, or a rank limit before the shuffle); no side grows
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Query vectors that one pass over the points holds at most (with 1,000 dimensions about 40 MB).
 QUERY_BLOCK = 5_000
@@ -83,16 +88,73 @@ def single_model(targets: DataFrame) -> str | None:
 
 
 def neighbours(queries: DataFrame, points: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", block: int = QUERY_BLOCK) -> DataFrame:
-    """For each query row its k nearest other points. Queries are broadcast in blocks of a fixed
-    size; each task ranks its own points first, so a block shuffles k rows per query and task."""
-    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("_q"))
+    """For each query row its k nearest other points, by cosine in double precision.
+
+    Queries go out in blocks of a fixed size as unit vectors. A task multiplies its points with
+    a block as matrices and keeps k points per query (and those that tie after rounding), so a
+    block shuffles about k rows per query and task. Points or queries without a length, or of another length, have
+    no neighbours."""
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v"))
     n = q.count()
     passes = max(1, -(-n // block))
+    src = points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    schema = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType), T.StructField("id", src.schema["id"].dataType), T.StructField("raw", T.DoubleType())])
     out = None
     for i in range(passes):
-        part = q if passes == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        pairs = points.join(F.broadcast(part), F.col(id_col) != F.col("query_id"))
-        hits = pairs.select("query_id", id_col, F.round(cosine(F.col(vector_col), F.col("_q")), 6).alias("score")).filter("score is not null")
+        part = (q if passes == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)).collect()  # a block
+        shared = points.sparkSession.sparkContext.broadcast(_units([r["query_id"] for r in part], [r["v"] for r in part]))
+        found = src.mapInArrow(_nearest(shared, k, schema), schema)
+        hits = found.select("query_id", F.col("id").alias(id_col), F.round("raw", 6).alias("score"))
         best = ranked(hits, k, id_col, by="query_id")
         out = best if out is None else out.unionByName(best)
     return out
+
+
+def _units(ids: list, vectors: list) -> dict[int, tuple[list, np.ndarray]]:
+    """Ids and unit vectors of those that have a length, by dimension."""
+    found: dict[int, tuple[list, list]] = {}
+    for i, v in zip(ids, vectors, strict=True):
+        if v and not any(x is None for x in v) and (norm := math.sqrt(math.fsum(x * x for x in v))) > 0:
+            held = found.setdefault(len(v), ([], []))
+            held[0].append(i)
+            held[1].append((v, norm))
+    return {d: (i, np.array([v for v, _ in rows]) / np.array([[n] for _, n in rows])) for d, (i, rows) in found.items()}
+
+
+def _nearest(shared, k: int, schema: T.StructType):
+    def best(query, ids, raw):
+        """The k best rows of each query and all that tie with the k-th after rounding."""
+        order = np.lexsort((-raw, query))
+        query, ids, raw = query[order], [ids[o] for o in order.tolist()], raw[order]
+        head = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        size = np.diff(np.append(head, len(query)))
+        last = np.repeat(raw[head + np.minimum(size, k) - 1], size)
+        stay = np.flatnonzero(raw >= last - 1.1e-6)
+        return query[stay], [ids[o] for o in stay.tolist()], raw[stay]
+
+    def run(batches):
+        kept = {d: (np.zeros(0, np.int64), [], np.zeros(0)) for d in shared.value}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                for d, (ids, v) in _units(part.column(0).to_pylist(), part.column(1).to_pylist()).items():
+                    if d not in kept:
+                        continue
+                    names, q = shared.value[d]
+                    score = q @ v.T
+                    least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(q), -np.inf)
+                    # A query's own row may be among its k, so one more is looked at.
+                    more = np.partition(score, -k - 1, axis=1)[:, -k - 1] if score.shape[1] > k + 1 else np.full(len(q), -np.inf)
+                    i, j = np.nonzero(score >= (np.minimum(least, more) - 1.1e-6)[:, None])
+                    other = np.array([names[a] != ids[b] for a, b in zip(i.tolist(), j.tolist(), strict=True)], bool)
+                    i, j = i[other], j[other]
+                    old = kept[d]
+                    if len(i):
+                        kept[d] = best(np.append(old[0], i), old[1] + [ids[b] for b in j.tolist()], np.append(old[2], score[i, j]))
+        for d, (query, ids, raw) in kept.items():
+            names = shared.value[d][0]
+            columns = [[names[x] for x in query.tolist()], ids, raw.tolist()]
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=to_arrow_type(f.dataType)) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
+    return run

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.functions.text import SPACE, joined, lines_of
+from gneiss.functions.text import is_blank, joined, lines_of
 
 
 def line_windows(df: DataFrame, text_col: str = "text", size: int = 60, overlap: int = 10) -> DataFrame:
     """One row for each window of ``size`` lines, a new one every ``size - overlap`` lines, the
-    last being the first that reaches the end. Blank windows are left out."""
+    last being the first that reaches the end, with its number ``ord`` in the text. Blank windows
+    are left out (and not numbered) before the rows are made, so nothing is shuffled."""
     step = max(size - overlap, 1)
     lines = df.withColumn("_lines", lines_of(F.col(text_col))).withColumn("_n", F.size("_lines")).filter("_n > 0")
-    starts = F.filter(F.sequence(F.lit(1), F.col("_n"), F.lit(step)), lambda s: (s == 1) | (s - step + size - 1 < F.col("_n")))
-    out = lines.withColumn("start_line", F.explode(starts))
+    lines = lines.withColumn("_solid", F.transform("_lines", lambda x: ~is_blank(x)))
+    last = lambda s: (s == 1) | (s - step + size - 1 < F.col("_n"))
+    solid = lambda s: F.exists(F.slice(F.col("_solid"), s, F.lit(size)), lambda x: x)
+    starts = F.filter(F.sequence(F.lit(1), F.col("_n"), F.lit(step)), lambda s: last(s) & solid(s))
+    out = lines.select("*", F.posexplode(starts).alias("ord", "start_line"))
     out = out.withColumn("end_line", F.least(F.col("start_line") + size - 1, F.col("_n")))
-    out = out.withColumn("chunk_text", joined(F.col("_lines"), F.col("start_line"), F.col("end_line")))
-    return out.filter(~F.col("chunk_text").rlike(f"(?U)^{SPACE}*$")).drop("_lines", "_n")
+    return out.withColumn("chunk_text", joined(F.col("_lines"), F.col("start_line"), F.col("end_line"))).drop("_lines", "_n", "_solid")
 
 
 def gaps(spans: DataFrame, keys: list[str], first: str = "first", last: str = "last") -> DataFrame:

@@ -116,10 +116,7 @@ i AS (SELECT *, substr(sha256(concat_ws('::', 'corpus', source || '/' || doc_id
 
 
 def _windows(spark, d):
-    from pyspark.sql import Window
-
     w = windows.line_windows(table(spark, d, "documents").select("doc_id", "source", "text"), "text", 10, 2)
-    w = w.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("start_line")) - 1)
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return w.withColumn("id", chunk_id("corpus", path, "window", F.col("start_line").cast("string"), F.col("ord").cast("string"))).withColumn("path", path)
 
@@ -350,7 +347,7 @@ _CHUNKS = """chunks AS (SELECT o_orderkey AS chunk, 'Brand#' || (o_orderkey % 6)
   CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 380 + 2)::INT END AS def_line, CASE o_orderkey % 7 WHEN 0 THEN 'window' WHEN 1 THEN 'module' ELSE 'function' END AS kind FROM orders)"""
 _LINKS = """links AS (SELECT 'n' || a.l_partkey AS source, 'n' || ((a.l_partkey * 7 + a.l_suppkey) % 2500) AS target,
   CASE a.l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'imports' WHEN 2 THEN 'method' ELSE 'inherits' END AS relation,
-  CASE WHEN a.l_returnflag = 'A' THEN 'INFERRED' ELSE 'EXTRACTED' END AS confidence, a.l_orderkey * 100 + a.l_linenumber AS ordinal, a.l_partkey FROM lineitem a WHERE a.l_linenumber <= 4)"""
+  CASE WHEN a.l_returnflag = 'A' THEN 'INFERRED' ELSE 'EXTRACTED' END AS confidence, a.l_orderkey * 100 + a.l_linenumber AS ordinal, a.l_partkey FROM lineitem a)"""
 
 
 def _graph_nodes(spark, d):
@@ -367,7 +364,7 @@ def _graph_nodes(spark, d):
 
 def _graph_links(spark, d):
     n = F.col("l_linenumber") % 4
-    return table(spark, d, "lineitem").filter("l_linenumber <= 4").select(
+    return table(spark, d, "lineitem").select(
         F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("source"),
         F.concat(F.lit("n"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % 2500).cast("string")).alias("target"),
         F.when(n == 0, "calls").when(n == 1, "imports").when(n == 2, "method").otherwise("inherits").alias("relation"),
@@ -396,7 +393,7 @@ def graph_match(spark, d):
     return graph.match_chunks(_graph_chunks(spark, d), _graph_nodes(spark, d), ["chunk"]).select("chunk", "node_id")
 
 
-_QUALIFIED = """own AS (SELECT l.target AS id, arg_max(s.plain, l.ordinal) AS owner FROM links l JOIN nodes s ON s.id = l.source WHERE l.relation = 'method' GROUP BY l.target),
+_QUALIFIED = """own AS (SELECT l.target AS id, max({'o': l.ordinal, 'p': s.plain}).p AS owner FROM links l JOIN nodes s ON s.id = l.source WHERE l.relation = 'method' GROUP BY l.target),
 qual AS (SELECT n.id, CASE WHEN o.owner IS NULL THEN n.plain ELSE o.owner || '.' || n.plain END AS qualified FROM nodes n LEFT JOIN own o USING (id))"""
 
 
