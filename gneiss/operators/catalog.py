@@ -23,9 +23,10 @@ def distinct_values(df: DataFrame, field: str) -> DataFrame:
     return df.select(F.col(field).cast("string").alias("value")).filter("value is not null").distinct()
 
 
-def scroll_where(df: DataFrame, field: str, value, limit: int = 10, vector_col: str = "vector") -> DataFrame:
-    """Some rows whose field has the value, without their vectors."""
-    return df.filter(F.col(field) == value).drop(vector_col).limit(limit)
+def scroll_where(df: DataFrame, field: str, value, limit: int | None = 10, vector_col: str = "vector") -> DataFrame:
+    """Some rows (or all) whose field has the value, without their vectors."""
+    found = df.filter(F.col(field) == value).drop(vector_col)
+    return found if limit is None else found.limit(limit)
 
 
 def model_check(collections: DataFrame, meta: DataFrame, model_id: str) -> DataFrame:

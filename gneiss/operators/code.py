@@ -228,14 +228,3 @@ def chunk_code(
     labels = F.transform(paths.path_labels(path, templates or []), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
     embed = code_text(labels, path, F.col("start_line"), F.col("end_line"), F.col("symbol_name"), F.col("chunk_text"))
     return out.withColumn("id", made).withColumn("embed_text", embed)
-
-
-#: Small files for the queries over literals.
-SAMPLES = [
-    ("app/tool.py", "import os\nimport sys\n\nLIMIT = 10\nNAMES = ['alpha', 'beta', 'gamma', 'delta', 'epsilon', 'zeta']\n\n\n@cached\ndef load(path):\n    def inner():\n        return path\n    return inner\n\n\nclass Store:\n    size = 3\n\n    def get(self, key):\n        return key\n\n    other = 2\n\n    async def put(self, key):\n        return None\n\n\nif LIMIT:\n    def fallback():\n        return 1\nelse:\n    def fallback():\n        return 2\n"),
-    ("app/broken.py", "def broken(:\n    pass\n"),
-    ("conf/values.yaml", "# service\nname: demo\nimage:\n  # where it comes from\n  repository: registry.example/demo\n  tag: one\n" + "".join(f"  option{i}: value number {i}\n" for i in range(20)) + "replicas: 2\nports: [80]\n---\nkind: other\n"),
-    ("srv/main.go", "package main\n\nimport \"fmt\"\n\n// Box holds a value.\ntype Box[T any] struct {\n\tv T\n}\n\n// Get gives it back.\nfunc (b *Box[T]) Get() T { return b.v }\n\nfunc New(n int) interface{} {\n\tfmt.Println(\"}\", '{', `raw }`)\n\treturn nil\n}\n"),
-    ("web/main.js", "import x from \"x\";\n\n/** adds */\nexport function add(a, b) {\n  return `${a} }` + /[}]/.test(b);\n}\n\nconst twice = async (n) => {\n  return n * 2;\n};\n\nexport default class Calc {\n  constructor() { this.n = 0; }\n\n  /** go */\n  static run(x) {\n    return x;\n  }\n}\n"),
-    ("core/lib.rs", "use std::fmt;\n\n/// A thing.\n#[derive(Debug)]\npub struct Thing<'a> {\n    name: &'a str,\n}\n\nimpl<'a> fmt::Display for Thing<'a> {\n    fn fmt(&self, f: &mut fmt::Formatter) -> fmt::Result {\n        write!(f, \"{}}}\", self.name)\n    }\n}\n\nmod inner {\n    pub struct Deep;\n    pub fn deep() -> char { '}' }\n}\n"),
-]

@@ -460,21 +460,118 @@ def hash_embed_search(spark, d):
     return hits.select(F.col("id").alias("doc_id"), "score").orderBy(F.desc("score"), "doc_id").limit(10)
 
 
-def _code_rows(spark, suffix):
-    rows = [(p, "repo", t) for p, t in code.SAMPLES if p.endswith(suffix)]
-    return code.chunk_code(spark.createDataFrame(rows, "file_path string, repo_name string, text string"), ["file_path", "repo_name"], max_chars=400)
+def _derived(spark, d, block, suffix, before="", most=code.MAX_CHARS):
+    """A source file for each document, made of a block of code for each of its lines."""
+    docs = table(spark, d, "documents").select("doc_id", lines_of(F.col("text")).alias("lines"))
+    text = F.concat(F.lit(before) if isinstance(before, str) else before, F.array_join(F.transform("lines", lambda x, i: block(i + 1, F.length(x).cast("string"))), "\n"))
+    path = F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), suffix)
+    files = docs.filter("size(lines) > 0").select("doc_id", path.alias("file_path"), F.lit("corpus").alias("repo_name"), text.alias("text"))
+    out = code.chunk_code(files, ["doc_id", "file_path", "repo_name"], max_chars=most)
+    return out.select("doc_id", "start_line", "end_line", "def_line", "symbol_name", "kind", "id")
 
 
-@query()
+_ID = "substr(sha256('corpus::src/d' || doc_id || {suffix} || '::' || symbol_name || '::0'), 1, 16) AS id"
+_ITEMS = _LINES + ", l AS (SELECT doc_id, pos AS i FROM d, generate_series(1, len(lines)) g(pos))"
+
+
+@query(
+    _ITEMS
+    + """, s AS (SELECT doc_id, i, (1 + 3 * (i - 1) + 3 * ((i - 1) // 4))::INT AS a FROM l),
+c AS (SELECT doc_id, a AS start_line, a + 1 AS end_line, a AS def_line, 'f' || i AS symbol_name, 'function' AS kind FROM s WHERE i % 4 <> 0
+UNION ALL SELECT doc_id, a, a + 2, a, 'C' || i, 'class' FROM s WHERE i % 4 = 0 UNION ALL SELECT doc_id, a + 3, a + 4, a + 3, 'C' || i || '.run', 'method' FROM s WHERE i % 4 = 0)
+SELECT *, """
+    + _ID.format(suffix="'.py'")
+    + " FROM c"
+)
 def python_chunks(spark, d):
-    return _code_rows(spark, ".py").select("file_path", "start_line", "end_line", "def_line", "symbol_name", "kind", "id")
+    """A function for each line of a document, and a class with a method for every fourth."""
 
+    def block(i, n):
+        name = i.cast("string")
+        function = F.concat(F.lit("def f"), name, F.lit("(a):\n    return "), n, F.lit("\n"))
+        klass = F.concat(F.lit("class C"), name, F.lit(":\n    size = "), n, F.lit("\n\n    def run(self):\n        return "), n, F.lit("\n"))
+        return F.when(i % 4 == 0, klass).otherwise(function)
 
-@query()
+    return _derived(spark, d, block, F.lit(".py"))
+
+
+@query(
+    _ITEMS
+    + """, b AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS sep, CASE WHEN i % 5 = 0 THEN 2 ELSE 17 END AS n FROM l),
+s AS (SELECT *, (1 + coalesce(sum(sep + n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + sep)::INT AS a FROM b),
+c AS (SELECT doc_id, a AS start_line, a + 16 AS end_line, a + 1 AS def_line, 'key' || i AS symbol_name FROM s WHERE n = 17 UNION ALL SELECT doc_id, a, a + 1, a, 'a' || i || '..b' || i FROM s WHERE n = 2)
+SELECT *, 'yaml_key' AS kind, """
+    + _ID.format(suffix="'.yaml'")
+    + " FROM c"
+)
 def yaml_chunks(spark, d):
-    return _code_rows(spark, ".yaml").select("file_path", "start_line", "end_line", "def_line", "symbol_name", "kind", "id")
+    """For each line a noted key with a long list, for every fifth two small keys that are packed;
+    every third begins another YAML document."""
 
+    def block(i, n):
+        name = i.cast("string")
+        item = F.concat(F.lit("  - "), F.rpad(n, 60, "x"))
+        large = F.concat(F.lit("# note "), name, F.lit("\nkey"), name, F.lit(":\n"), F.array_join(F.array_repeat(item, 15), "\n"))
+        small = F.concat(F.lit("a"), name, F.lit(": "), n, F.lit("\nb"), name, F.lit(": 2"))
+        return F.concat(F.when(i % 3 == 0, "---\n").otherwise(""), F.when(i % 5 == 0, small).otherwise(large))
 
-@query()
+    return _derived(spark, d, block, F.lit(".yaml"))
+
+
+@query(
+    _ITEMS
+    + """, s AS (SELECT doc_id, i, (CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 1 END + 5 * (i - 1))::INT AS a, CASE doc_id % 3 WHEN 0 THEN '.go' WHEN 1 THEN '.js' ELSE '.rs' END AS suffix FROM l),
+c AS (SELECT doc_id, a AS start_line, a + 3 AS end_line, a + 1 AS def_line, 'f' || i AS symbol_name, 'function' AS kind, suffix FROM s)
+SELECT * EXCLUDE (suffix), """
+    + _ID.format(suffix="suffix")
+    + " FROM c"
+)
 def symbol_chunks(spark, d):
-    return _code_rows(spark, (".go", ".js", ".rs")).select("file_path", "start_line", "end_line", "def_line", "symbol_name", "kind", "id")
+    """A documented function for each line: Go, JavaScript or Rust by the document's number."""
+    third = F.col("doc_id") % 3
+
+    def block(i, n):
+        name = i.cast("string")
+        go = F.concat(F.lit("// Says it.\nfunc f"), name, F.lit("(a int) int {\n\treturn "), n, F.lit("\n}\n"))
+        js = F.concat(F.lit("/** says it */\nexport function f"), name, F.lit("(a) {\n  return `}` + "), n, F.lit(";\n}\n"))
+        rust = F.concat(F.lit("/// Says it.\npub fn f"), name, F.lit("(a: i32) -> i32 {\n    "), n, F.lit("\n}\n"))
+        return F.when(third == 0, go).when(third == 1, js).otherwise(rust)
+
+    return _derived(spark, d, block, F.when(third == 0, ".go").when(third == 1, ".js").otherwise(".rs"), F.when(third == 0, "package p\n\n").otherwise(""))
+
+
+#: As above, but with the h2 of each cycle between two fence lines, where it is no heading.
+_FENCED = (
+    _LINES
+    + """, l AS (SELECT doc_id, pos, lines[pos] AS line, pos % 9 AS m FROM d, generate_series(1, len(lines)) g(pos)),
+f AS (SELECT doc_id, pos, m, CASE m WHEN 1 THEN '# L1 ' || (pos % 5) WHEN 3 THEN '```' WHEN 4 THEN '## L2' WHEN 6 THEN '```' ELSE line END AS line FROM l),
+seg AS (SELECT *, sum(CASE WHEN m = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM f),
+agg AS (SELECT doc_id, grp, min(pos) AS a, max(pos) FILTER (WHERE regexp_matches(line, '\\S')) AS b, count(*) FILTER (WHERE m <> 1 AND regexp_matches(line, '\\S')) AS body FROM seg GROUP BY doc_id, grp),
+num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS ord FROM agg WHERE body > 0)
+"""
+)
+
+
+@query(_FENCED + "SELECT doc_id, ord::INT AS ord, a::INT AS start_line, b::INT AS end_line, 'L1 ' || (a % 5) AS heading FROM num")
+def markdown_fences(spark, d):
+    """Sections of documents in which fences hide a heading; an open fence takes the rest."""
+    lines = table(spark, d, "documents").select("doc_id", lines_of(F.col("text")).alias("lines"))
+    mark = lambda x, i: F.when((i + 1) % 9 == 1, F.concat(F.lit("# L1 "), ((i + 1) % 5).cast("string"))).when(((i + 1) % 9).isin(3, 6), "```").when((i + 1) % 9 == 4, "## L2").otherwise(x)
+    docs = lines.select("doc_id", F.array_join(F.transform("lines", mark), "\n").alias("text"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file_path"), F.lit("corpus").alias("repo_name"))
+    return markdown.chunk_markdown(docs, ["doc_id", "file_path", "repo_name"], max_chars=0).select("doc_id", "ord", "start_line", "end_line", "heading")
+
+
+@query(_LINES + "SELECT doc_id FROM d WHERE len(list_filter(lines, lambda l: length(trim(l)) > 0)) > 40")
+def store_delete_where(spark, d):
+    """What stays of the documents when those with few solid lines are deleted by key."""
+    docs = table(spark, d, "documents")
+    solid = F.size(F.filter(lines_of(F.col("text")), lambda x: ~is_blank(x)))
+    return reconcile.removed(docs.select("doc_id"), docs.filter(solid <= 40), "doc_id")
+
+
+@query("SELECT source AS collection, doc_id AS id, lang AS value FROM documents WHERE lang IN ('de', 'fr') AND source <> 'src1'")
+def scroll_all_where(spark, d):
+    """All rows of some collections whose field has one of several values."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("collection"), F.col("doc_id").alias("id"), "lang")
+    parts = [catalog.scroll_where(docs, "lang", v, limit=None) for v in ("de", "fr")]
+    return parts[0].unionByName(parts[1]).filter("collection <> 'src1'").select("collection", "id", F.col("lang").alias("value"))
