@@ -1,11 +1,16 @@
 """Ingest: discover, chunk, embed and reconcile one project as one plan and one table swap.
 
-The scan, the chunkers, the embedding map and the anti-join with the old version are one lazy
-plan; it runs when the next version is written. If any of it fails the old version stays."""
+The scan, the chunkers and the embedding map are one lazy plan that runs once, when the store
+writes the new points; only the buckets of changed files are rewritten. If any of it fails the
+old version stays."""
 
 from __future__ import annotations
 
 import datetime
+import json
+import os
+import subprocess
+import tempfile
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -16,7 +21,7 @@ from gneiss.functions.text import point_id
 from gneiss.operators import catalog, code, embed, graph, markdown
 from gneiss.operators.store import POINT_SCHEMA, VectorStore
 from gneiss.sources import corpus
-from gneiss.sources.config import Config, Embedding, Project
+from gneiss.sources.config import Config, Embedding, Graph, Project
 
 POINT_WARNING = 15_000
 REPORT_LIMIT = 200_000
@@ -76,9 +81,47 @@ def as_points(chunks: DataFrame, provider: embed.Provider, graph_tables=None) ->
     return out.select(*POINT_SCHEMA.names, "ordinal")
 
 
+def built_graph(project: Project, folder: str, run=subprocess.run) -> str | None:
+    """The graph file that the project's builder writes; none without a builder, or if anything
+    about it fails: enrichment is an extra, never a reason not to index."""
+    wanted = project.graph
+    if project.kind != "code" or wanted is None or not wanted.enabled or not wanted.command:
+        return None
+    out = os.path.join(folder, "graph.json")
+    try:
+        done = run([*wanted.command, str(project.root), out], timeout=wanted.timeout_seconds, capture_output=True, check=False)
+        with open(out, encoding="utf-8") as f:
+            found = json.load(f)
+        good = done.returncode == 0 and isinstance(found.get("nodes"), list) and isinstance(found.get("links"), list) and found["nodes"] and found["links"]
+    except (OSError, ValueError, AttributeError, subprocess.SubprocessError):
+        return None
+    return f"file://{out}" if good else None
+
+
 def index_project(
-    spark: SparkSession, store: VectorStore, project: Project, provider: embed.Provider, recreate: bool = False, graph_file: str | None = None, now: datetime.datetime | None = None
-) -> IndexReport:
+    spark: SparkSession, store: VectorStore, project: Project, provider: embed.Provider, recreate: bool = False, graph_file: str | None = None,
+    now: datetime.datetime | None = None, run=subprocess.run,
+) -> IndexReport:
+    """Indexes a project; without a ``graph_file`` the project's builder is run for one, on the driver."""
+    with tempfile.TemporaryDirectory() as folder:
+        graph_file = graph_file or built_graph(project, folder, run)
+        tables = _graph_tables(spark, project, graph_file) if project.kind == "code" and graph_file else None
+    return _index(spark, store, project, provider, recreate, tables, now)
+
+
+def _graph_tables(spark: SparkSession, project: Project, graph_file: str):
+    """Nodes, links and most connected nodes. The graph is read on the driver, as executors don't
+    see its folder; it has the size of one repository."""
+    nodes, links = graph.read_graph(spark, graph_file)
+    nodes, links = (spark.createDataFrame(x.collect(), x.schema) for x in (nodes, links))
+    nodes = graph.placed_nodes(nodes, str(project.root))
+    wanted = project.graph or Graph()
+    degree = links.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    gods = degree.join(nodes.select("id"), "id", "left_semi").orderBy(F.desc("n"), "id").limit(wanted.god_nodes_top)
+    return nodes, links, gods, wanted.related_max
+
+
+def _index(spark: SparkSession, store: VectorStore, project: Project, provider: embed.Provider, recreate: bool, tables, now) -> IndexReport:
     report = IndexReport()
     texts = project_texts(spark, project)
     counts = {r["skip_reason"]: r["n"] for r in texts.groupBy("skip_reason").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -96,15 +139,9 @@ def index_project(
             raise ModelMismatch(f"{name} was indexed with {meta['model_id']}, the configuration says {provider.model_id}; use --recreate")
     if not exists or recreate:
         store.recreate_collection(name, provider.dimensions())
-    tables, god_names, text = None, None, None
-    if project.kind == "code" and graph_file:
-        nodes, links = graph.read_graph(spark, graph_file)
-        nodes = graph.placed_nodes(nodes, str(project.root))
-        most = project.graph.god_nodes_top if project.graph else 10
-        degree = links.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-        gods = degree.join(nodes.select("id"), "id", "left_semi").orderBy(F.desc("n"), "id").limit(most)
-        tables = (nodes, links, gods, project.graph.related_max if project.graph else 10)
-        god_names = [r[0] for r in graph.god_labels(nodes, links, gods).collect()]
+    god_names, text = None, None
+    if tables:
+        god_names = [r[0] for r in graph.god_labels(*tables[:3]).collect()]
         text = "\n".join(f"- {g}" for g in god_names)[:REPORT_LIMIT]
     report.graph = bool(tables) if project.kind == "code" else None
     chunks = project_chunks(texts, project)
@@ -114,8 +151,7 @@ def index_project(
     report.removed_files = gone.count()
     done = texts.filter("skip_reason is null").select("file_path").unionByName(gone)
     # Chunks that share an id are counted as they were made; the table keeps the last of them.
-    report.chunks = chunks.count()
-    store.replace(name, as_points(chunks, provider, tables), done)
+    report.chunks = store.replace(name, as_points(chunks, provider, tables), done)
     stamp = (now or datetime.datetime.now(datetime.UTC)).isoformat(timespec="seconds")
     store.write_meta(name, provider.model_id, provider.dimensions(), files=report.files, repo_name=project.effective_repo_name, kind=project.kind, indexed_at=stamp, report=text, god_nodes=god_names)
     if project.max_chunk_chars > provider.max_input_chars:

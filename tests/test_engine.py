@@ -1,4 +1,5 @@
 import datetime
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from gneiss.cli import main
 from gneiss.functions import paths
 from gneiss.operators import embed, graph, search
 from gneiss.operators.ingest import ModelMismatch, index_project, ingest
-from gneiss.operators.store import VectorStore
+from gneiss.operators.store import StoreLocked, VectorStore
 from gneiss.sources import config as conf
 from gneiss.sources import corpus
 
@@ -129,6 +130,69 @@ def test_code_ingest_with_a_graph(spark, store, tmp_path):
     assert got == {"helper": ("core", ["run"]), "run": ("core", ["helper"])}
 
 
+def test_a_builder_gives_the_graph_and_its_failure_nothing(spark, store, tmp_path):
+    root = tmp_path / "svc"
+    root.mkdir()
+    (root / "m.py").write_text("def helper():\n    return 1\n\n\ndef run():\n    return helper()\n")
+    made = '{"nodes": [{"id": "h", "label": "helper()", "source_file": "m.py", "source_location": "L1", "community": 3, "community_name": "core"}], "links": [{"source": "r", "target": "h", "relation": "calls", "confidence": "EXTRACTED"}]}'
+    project = conf.Project("svc", str(root), "code.svc", ("**/*.py",), kind="code", repo_name="svc", graph=conf.Graph(command=("build", "-q"), timeout_seconds=9))
+    called = []
+
+    def builder(command, **options):
+        called.append((command[:3], options["timeout"]))
+        with open(command[-1], "w") as f:
+            f.write(made)
+        return subprocess.CompletedProcess(command, 0)
+
+    def slow(command, **options):
+        raise subprocess.TimeoutExpired(command, 9)
+
+    provider = embed.build_provider("hash", "16")
+    assert index_project(spark, store, project, provider, run=slow).graph is False
+    assert index_project(spark, store, project, provider, run=lambda c, **o: subprocess.CompletedProcess(c, 0)).graph is False
+    assert index_project(spark, store, project, provider, run=builder).graph is True and called == [(["build", "-q", str(root)], 9)]
+    assert {r["community_name"] for r in store.read("code.svc").filter("symbol_name = 'helper'").collect()} == {"core"}
+    engine = Engine(spark, conf.Config(embedding=conf.Embedding("hash", "16"), repos=[project]), store)
+    assert "- helper" in engine.explain_architecture("svc") and "not a code repository" in engine.explain_architecture("x")
+
+
+def test_writes_touch_buckets_keep_versions_and_lock(spark, store, monkeypatch):
+    store.recreate_collection("c", 2)
+    store.upsert("c", points(spark, [(i, [1.0, 0.0], "a", f"f{i}", i) for i in range(40)]))
+    before, old = store.read("c"), store._pointer("c")["buckets"]
+    store.upsert("c", points(spark, [(1, [0.0, 1.0], "new", "f1", 0)]))
+    now = store._pointer("c")["buckets"]
+    assert sum(old[k] != now[k] for k in old) == 1 and len(now) == len(old)
+    assert before.filter("id = 1").first()["text"] == "a" and store.read("c").filter("id = 1").first()["text"] == "new"
+    store.upsert("c", points(spark, [(1, [0.0, 1.0], "moved", "elsewhere", 0)]))
+    assert rows(store.read("c").filter("id = 1"), "text", "file_path") == [("moved", "elsewhere")] and store.count("c") == 40
+    with store.locked("c"), pytest.raises(StoreLocked):
+        store.delete_where("c", "file_path", ["f2"])
+    store.keep_seconds = -1
+    store.delete_where("c", "text", ["moved"])
+    used = {*store._pointer("c")["buckets"].values()}
+    assert store.count("c") == 39 and {s.getPath().getName() for s in store._fs.listStatus(store._path("c")) if s.isDirectory()} == used
+    assert rows(store.points(["c", "none"]).filter("id = 3"), "collection") == [("c",)]
+
+
+def test_sources_are_listed_by_their_own_models(spark, store, monkeypatch):
+    store.recreate_collection("a", 8)
+    store.recreate_collection("b", 8)
+    store.write_meta("a", "hash:16", 16)
+    store.write_meta("b", "hash:8", 8)
+    projects = [conf.Project("a", "/a", "a", embedding=conf.Embedding("hash", "16")), conf.Project("b", "/b", "b", embedding=conf.Embedding("hash", "16")), conf.Project("n", "/n", "n", embedding=conf.Embedding("openai", "m"))]
+    lines = Engine(spark, conf.Config(embedding=conf.Embedding("hash", "8"), explicit=projects), store).list_sources().split("\n")
+    assert "other model" not in lines[0] and "other model than the configured hash:16: ingest b with --recreate" in lines[1]
+    assert "not indexed yet, ingest n (no embedding provider" in lines[2]
+
+
+@pytest.mark.parametrize("url", ["http://a.example:80@b.example/", "http://a.example\\@b.example", "http://a.example /x", "ftp://a.example", "http://[::2]/", "http://a.example:99999/", "http://é.example/"])
+def test_urls_that_programs_read_differently(url):
+    with pytest.raises(conf.ConfigError):
+        conf.endpoint(url)
+    assert conf.endpoint("HTTPS://A.example:8443/v1?x=1") == ("https", "a.example") and conf.endpoint("http://[::1]:11434") == ("http", "::1")
+
+
 def test_prune_needs_consent_and_no_failure(spark, store, tree):
     base = tree.parent / "ctx"
     (base / "topics" / "auth").mkdir(parents=True)
