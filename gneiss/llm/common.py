@@ -6,6 +6,7 @@ holds more than one Arrow batch of rows."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -109,10 +110,13 @@ def shuffle_width(spark: SparkSession) -> int:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; one is set only where none is."""
+    The folder is the session's ``spark.checkpoint.dir``. Where none is set, a local session (as
+    in tests) gets one; on a cluster that is an error, as its nodes share no local folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(where or "/tmp/gneiss-checkpoints")
+        if not where and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="gneiss-checkpoints-"))
     return df.checkpoint(eager=True)

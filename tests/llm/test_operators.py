@@ -215,6 +215,44 @@ def test_jaccard_without_rows_or_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similar_components(df).collect()) == [(0, 0), (5, 5), (5, 5)]
 
 
+def test_documents_with_several_texts_keep_all_their_links(spark):
+    rng = random.Random(23)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a), (7, prose(rng, 60)), (8, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.similar_components(df).collect())
+    assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (7, 7), (8, 8)]
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(24)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (5, a), (3, a + " x"), (None, a), (None, b), (None, b), (9, c), (9, "other words that stand here alone"), (4, ""), (4, ""), (None, None), (2, "x")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumns({"f": F.lit(1), "node": F.lit(2)})
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    want = [(3, a + " x"), (None, b), (9, min(c, "other words that stand here alone")), (4, ""), (4, ""), (None, None), (2, "x")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+
+
+def test_leaders_followers_and_derived_answers(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "SKIP", 2)
+    rng = random.Random(25)
+    base = prose(rng, 80).split()
+    texts = []
+    for drift in range(0, 60, 2):  # a chain: neighbours link, ends don't
+        w = list(base)
+        for at in range(drift):
+            w[at] = f"d{at}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:40] + [f"e{i}" for i in range(k)] + base[40:]) for k in range(1, 12)] + near_copies(rng, 3, 12, 50, 6)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_components(docs(spark, texts)).collect()}
+    assert got == brute_components({i: shingle_set(t) for i, t in enumerate(texts)})
+
+
 def test_threshold_is_exact_in_whole_numbers():
     for a, b in itertools.product(range(1, 60), repeat=2):
         need = ngram_join.least_overlap(a, b, 0.8)
@@ -451,7 +489,11 @@ def test_contamination_is_found_also_when_reordered(spark, most):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in benchmark_tiling.find_contamination(docs(spark, texts, extra=("item_id",)), bench, max_words=most).collect()}
     assert got == {(0, 0), (1, 1), (3, 6)}
-    assert benchmark_tiling.remove_contaminated(docs(spark, texts), bench).count() == len(texts) - 3
+    assert benchmark_tiling.remove_contaminated(docs(spark, texts), bench, max_words=most).count() == len(texts) - 3
+    twice = docs(spark, texts).unionByName(docs(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs(spark, ["clean words only"]))
+    assert benchmark_tiling.remove_contaminated(twice, bench, max_words=most).count() == 2 * (len(texts) - 3) + 1
+    ties = spark.createDataFrame([(5, items[0]), (5, items[0])], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.coverage) for r in benchmark_tiling.find_contamination(docs(spark, texts), ties).collect()] == [(0, 5, 1.0)] * 2
     assert benchmark_tiling.find_contamination(docs(spark, texts), bench.limit(0)).count() == 0
 
 
@@ -480,6 +522,24 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size,hashes,n", [(64, 1, 300), (64, 2, 300), (64, 3, 300), (64, 4, 300), (256, 2, 200), (256, 3, 200), (1024, 2, 60)])
+def test_share_of_links_found_at_the_threshold(size, hashes, n):
+    rng = np.random.default_rng(26)
+    a, b = (embedding_dedup._unit(rng.normal(size=(n, size))) for _ in range(2))
+    b = embedding_dedup._unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    x, y = (embedding_dedup.bucket_codes(v, embedding_dedup.tables_for(hashes, size), hashes).reshape(n, -1, 2) for v in (a, 0.9 * a + math.sqrt(0.19) * b))
+    assert (x[:, :, :, None] == y[:, :, None, :]).any(axis=(1, 2, 3)).mean() >= 0.94
+
+
+def test_vectors_of_lengths_1024_apart_never_meet(spark):
+    rng = np.random.default_rng(27)
+    base = rng.normal(size=40)
+    rows = [(i, [float(x) for x in base + rng.normal(size=40) * 0.01]) for i in range(10)] + [(10 + i, [float(x) for x in np.append(base, np.zeros(1024))]) for i in range(2)]
+    df = spark.createDataFrame(rows + [(0, rows[0][1])], "vec_id long, embedding array<float>")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()]
+    assert sorted(got) == sorted([(i, 10, 0) for i in range(10)] + [(0, 10, 0)] + [(10, 1, 10), (11, 1, 10)])
+
+
 # ---------------------------------------------------------------- 10
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="page7">
@@ -604,6 +664,34 @@ def test_pipeline_stages(spark, sf_dir):
     assert out.select("doc_id").distinct().count() == kept.filter("text is not null").select("doc_id").distinct().count()
 
 
+def test_pipeline_stages_take_odd_rows(spark, sf_dir):
+    import corpus_pipeline
+
+    rng = random.Random(28)
+    whole = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(30).collect()]
+    df = docs(spark, odd_texts(rng) + whole, extra=("score", "predicted", "f", "node", "i", "t"))
+    df = df.unionByName(df).unionByName(df.withColumn("doc_id", F.lit(None).cast("long")))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, df, sf_dir)
+        assert kept.columns == df.columns and kept.count() <= df.count()
+        assert stage(spark, df.limit(0), sf_dir).count() == 0
+    assert corpus_pipeline.encoded(spark, df.limit(0), sf_dir).count() == 0
+    distinct = corpus_pipeline.distinct(spark, df, sf_dir)
+    texts = [r.text for r in distinct.filter("trim(text) <> '' and length(text) > 10").collect()]
+    assert len(texts) == len(set(texts))
+
+
+def test_language_stage_drops_a_language_left_out_of_the_fit(spark, sf_dir, tmp_path):
+    """Of long texts in a language that was not learned at least 9 of 10 go, of all others none."""
+    import corpus_pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 2000")
+    known, foreign = table.filter("lang <> 'de'"), table.filter("lang = 'de'")
+    known.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.language(spark, table, str(tmp_path)).cache()
+    assert kept.filter("lang = 'de'").count() <= 0.1 * foreign.count() and kept.filter("lang <> 'de'").count() == known.count()
+
+
 def test_pipeline_drops_long_texts_in_no_learned_language(spark, sf_dir):
     import corpus_pipeline
 
