@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import cut
 
 CHUNK = 1_000_000
+#: Edges of a node from which on it is not a join key, but broadcast; there are at most edges / HOT such nodes.
+HOT = 100_000
+MAX_BROADCAST = 1_000_000
 
 
 def _stars(batches):
@@ -45,8 +48,15 @@ def _stars(batches):
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round; edges (u, v) have u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    low = cut(both.groupBy("u").agg(F.min("v").alias("m"))).withColumn("m", F.least("u", "m"))
-    joined = both.join(low, "u")
+    low = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))).withColumn("m", F.least("u", "m"))
+    # The edges of a giant component's root would all be one key's.
+    hot = low.filter(F.col("n") > HOT).select("u", "m")
+    few = 0 < hot.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    if few:
+        hub = F.broadcast(hot)
+        joined = both.join(hub, "u").unionByName(both.join(F.broadcast(hot.select("u")), "u", "left_anti").join(low.select("u", "m"), "u"))
+    else:
+        joined = both.join(low.select("u", "m"), "u")
     if large:
         made = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -259,8 +259,9 @@ def test_threshold_is_exact_in_whole_numbers():
         assert 100 * need >= 80 * (a + b - need) and 100 * (need - 1) < 80 * (a + b - need + 1)
 
 
-@pytest.mark.parametrize("chunk", [1_000_000, 40])
-def test_components_by_contraction_and_by_stars(spark, chunk):
+@pytest.mark.parametrize("chunk,hot", [(1_000_000, 100_000), (40, 100_000), (40, 5)])
+def test_components_by_contraction_and_by_stars(spark, monkeypatch, chunk, hot):
+    monkeypatch.setattr(components, "HOT", hot)
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 440)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)
