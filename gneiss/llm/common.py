@@ -6,6 +6,8 @@ holds more than one Arrow batch of rows."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Callable, Sequence
 
@@ -34,6 +36,20 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(PUNCT_TO_SPACE).split()
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker serves the tasks of other operators next."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def map_rows(
     df: DataFrame,
     inputs: Sequence[str],
@@ -61,6 +77,8 @@ def map_rows(
                 out = fn(*[part.column(c).to_pylist() for c in inputs])
                 made = [pa.array(x, type=t) for x, t in zip(out, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + made, names=names)
+        del fn
+        give_back()
 
     return src.mapInArrow(run, schema)
 
@@ -94,6 +112,8 @@ def expand_rows(
             out = fn.finish()
             if len(out[0]):
                 yield pack(out)
+        del fn
+        give_back()
 
     return src.mapInArrow(run, schema)
 

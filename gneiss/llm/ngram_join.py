@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gneiss.llm.common import col, cut, expand_rows, map_rows, shuffle_width
+from gneiss.llm.common import col, cut, expand_rows, give_back, map_rows, shuffle_width
 from gneiss.llm.components import components
 
 WORDS = 5
@@ -275,6 +275,8 @@ def _whole(batches, keys: int = 2):
             held.append(cols)
     if held:
         yield ready()
+    held = []
+    give_back()
 
 
 def probe(n, pos, probes, first, count, similarity: float):
@@ -414,6 +416,7 @@ def _compared(pairs: DataFrame, classes: _Classes, similarity: float, every: boo
             if out:
                 yield _batch(*np.array(out, np.int64).T, names=("a", "b", "o", "na", "nb"))
                 out = []
+        give_back()
 
     return ready.mapInArrow(check, "a long, b long, o long, na long, nb long")
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gneiss.llm.common import col, map_rows
+from gneiss.llm.common import col, give_back, map_rows
 
 MARK = "▁"
 ALPHA = 1.5
@@ -702,6 +702,7 @@ def sample_segmentations(
                         names=names,
                     )
         s.forget()
+        give_back()
 
     return src.mapInArrow(run, T.StructType(fields))
 
