@@ -303,6 +303,39 @@ def test_bundle_does_not_depend_on_the_batch():
     assert np.array_equal(whole, alone)
 
 
+def slow_bundle(text, dim):
+    """Trigrams bound and bundled one by one."""
+    letters, out = [" "], np.zeros(dim)
+    for c in (text or "").lower():
+        if c.isalpha() or letters[-1] != " ":
+            letters.append(c if c.isalpha() else " ")
+    letters += [" "] * (letters[-1] != " ")
+    vector = lambda c: 2.0 * np.random.Generator(np.random.PCG64(ord(c) + 1)).integers(0, 2, dim, dtype=np.int8) - 1
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        out += np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+    return out
+
+
+def test_language_equals_a_slow_model(spark):
+    rng = random.Random(29)
+    alphabet = "abcde éßñ ÀЖ中 12.,-\n"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["x", " x ", "", None, "İı", "ab  cd"]
+    for t, v in zip(texts, language_id.Encoder(64).encode(texts)[0], strict=True):
+        assert np.allclose(v, slow_bundle(t, 64)), t
+    unit = lambda v: v / np.linalg.norm(v) if v.any() else v
+    langs = [("en", "de", "fr")[i % 3] for i in range(len(texts))]
+    df = docs(spark, texts, langs, extra=("score",))
+    model = language_id.fit(df, dim=64)
+    want = np.array([unit(sum(unit(slow_bundle(t, 64)) for t, x in zip(texts, langs) if x == k and any(c.isalpha() for c in t or ""))) for k in model.langs])
+    assert model.langs == ["de", "en", "fr"] and np.allclose(model.vectors, want, atol=1e-5)
+    for r in language_id.predict(df, model).collect():
+        cos = want @ unit(slow_bundle(texts[r.doc_id], 64))
+        has = any(c.isalpha() for c in texts[r.doc_id] or "")
+        assert (r.lang_pred == "und" and r.score == 0) if not has else (abs(r.score - max(0, cos.max())) < 1e-5 and cos[model.langs.index(r.lang_pred)] > cos.max() - 1e-5)
+    ties = docs(spark, ["same words"] * 4, ["b", "a", "b", "a"])
+    assert {r.lang_pred for r in language_id.predict(ties, language_id.fit(ties, dim=64)).collect()} == {"a"}
+
+
 def toxic_table(spark):
     rng = random.Random(7)
     texts = [prose(rng, 40) + (" idiot scum" if i % 5 == 0 else "") for i in range(400)] + odd_texts(rng)
