@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -16,6 +17,7 @@ import urllib.request
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -40,8 +42,9 @@ def hash_vectors(df: DataFrame, text_col: str = "text", dimensions: int = 64, ve
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                vectors = [hashed(t or "", dimensions) for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(vectors, pa.list_(pa.float64()))], names=schema.names)
+                flat = hashed_all([t or "" for t in part.column(text_col).to_pylist()], dimensions).ravel()
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * dimensions, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], vectors], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -135,18 +138,39 @@ class Provider:
         return out
 
 
-@functools.lru_cache(maxsize=200_000)
-def _spot(word: str) -> tuple[int, float]:
-    digest = hashlib.md5(word.encode()).hexdigest()
-    return int(digest[:8], 16), 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+class _Spots(dict):
+    """Words to the number of their dimension, plus ``dimensions`` where the sign is negative;
+    remembered for a bounded number of words."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        digest = hashlib.md5(word.encode()).hexdigest()
+        self[word] = spot = int(digest[:8], 16) % self.dimensions + self.dimensions * (int(digest[8], 16) % 2)
+        return spot
+
+
+@functools.lru_cache(maxsize=8)
+def _spots(dimensions: int) -> _Spots:
+    return _Spots(dimensions)
+
+
+def hashed_all(texts: Sequence[str], dimensions: int) -> np.ndarray:
+    """A row of signed word counts for each text, each word hashed to one dimension."""
+    of = _spots(dimensions).__getitem__
+    rows = [list(map(of, _WORD(t.lower()))) for t in texts]
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    spots = np.fromiter(itertools.chain.from_iterable(rows), np.int64, int(size.sum()))
+    counts = np.bincount(np.repeat(np.arange(len(rows)), size) * 2 * dimensions + spots, minlength=2 * dimensions * len(rows)).reshape(len(rows), 2, dimensions)
+    return (counts[:, 0] - counts[:, 1]).astype(np.float64)
 
 
 def hashed(text: str, dimensions: int) -> list[float]:
-    """Signed counts of the text's words, each hashed to one dimension."""
-    out = [0.0] * dimensions
-    for place, sign in map(_spot, _WORD(text.lower())):
-        out[place % dimensions] += sign
-    return out
+    return hashed_all([text], dimensions)[0].tolist()
 
 
 def build_provider(kind: str, model: str, base_url: str | None = None, api_key_env: str | None = None, **more) -> Provider:
