@@ -536,21 +536,27 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     that share it the smallest, and where no row has an id the smallest row. Empty texts stay."""
     rows, named = linked_classes(df.select(col(id_col).cast("long").alias("i"), col(text_col).alias("t")), similarity)
     found = cut(rows.join(named, "f", "left"))
-    columns = [col(c) for c in df.columns]
-    key = col(id_col).cast("long")
+    columns, key = [col(c) for c in df.columns], col(id_col).cast("long")
+    ident, node, by = (_free(df, n) for n in ("_id", "_node", "_by"))
     full = found.filter("n > 0")
-    chosen = full.filter("i = rep").groupBy("i").agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = full.filter("i = rep").groupBy(F.col("i").alias(ident)).agg(F.count(F.lit(1)).alias("_rows"))
     # An empty text has its own row even where its id has other texts.
-    empty = found.filter("n = 0 and i is not null").select("i").distinct()
-    none = map_rows(df.filter(col(id_col).isNull()), [text_col], df.columns, [T.StructField("_node", T.LongType())], lambda: lambda texts: ([_print(s) for s in shingle_sets(texts)],))
-    single = df.join(_small(cut(chosen.filter("_rows = 1").select("i"))), key == F.col("i"), "left_semi").select(*columns)
+    empty = found.filter("n = 0 and i is not null").select(F.col("i").alias(ident)).distinct()
     blank = col(text_col).isNull() | ~col(text_col).rlike(r"[^\x20\x09-\x0D]")
-    out = single.filter(~blank)
-    out = out.unionByName(df.join(_small(cut(empty)), key == F.col("i"), "left_semi").filter(blank).select(*columns))
+    of = lambda rows, ids: rows.join(_small(cut(ids.select(ident))), key == F.col(ident), "left_semi")
+    out = of(df.filter(~blank), chosen.filter("_rows = 1")).unionByName(of(df.filter(blank), empty))
     whole = F.struct(*[col(c).alias(f"_{n}") for n, c in enumerate(df.columns)])
-    first = lambda rows, by: rows.groupBy(by).agg(F.min("_whole").alias("_whole")).select(*[F.col(f"_whole._{n}").alias(c) for n, c in enumerate(df.columns)])
-    several = df.filter(~blank).join(_small(cut(chosen.filter("_rows > 1").select("i"))), key == F.col("i"), "left_semi")
-    out = out.unionByName(first(several.select(key.alias("_by"), whole.alias("_whole")), "_by"))
-    out = out.unionByName(none.filter(F.col("_node").isNull()).select(*columns))
-    alone = none.join(named.filter("rep is null").select(F.col("f").alias("_node"), F.col("component").alias("_by")), "_node")
-    return out.unionByName(first(alone.select("_by", whole.alias("_whole")), "_by"))
+    first = lambda rows: rows.groupBy(by).agg(F.min("_whole").alias("_whole")).select(*[F.col(f"_whole._{n}").alias(c) for n, c in enumerate(df.columns)])
+    out = out.unionByName(first(of(df.filter(~blank), chosen.filter("_rows > 1")).select(key.alias(by), whole.alias("_whole"))))
+    none = map_rows(df.filter(col(id_col).isNull()), [text_col], df.columns, [T.StructField(node, T.LongType())], lambda: lambda texts: ([_print(s) for s in shingle_sets(texts)],))
+    out = out.unionByName(none.filter(F.col(node).isNull()).select(*columns))
+    alone = none.join(named.filter("rep is null").select(F.col("f").alias(node), F.col("component").alias(by)), node)
+    return out.unionByName(first(alone.select(by, whole.alias("_whole"))))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A name like this one that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
