@@ -50,8 +50,10 @@ MARK = "▁"
 ALPHA = 1.5
 SAMPLES = 3
 #: Arcs that a worker remembers before it starts anew, and characters worked on at once.
-MEMO = 3_000_000
-CHARS = 300_000
+MEMO = 1_000_000
+CHARS = 100_000
+#: Units whose lattices are built at once.
+BUILD = 4_000
 REDRAWS = 3
 _U64 = np.uint64
 _SLOTS = 21
@@ -220,6 +222,10 @@ class Lattices:
         return self
 
     def add(self, units: list[str]) -> None:
+        for at in range(0, len(units), BUILD):
+            self._add(units[at : at + BUILD])
+
+    def _add(self, units: list[str]) -> None:
         new, nodes, arcs, best = Lattices(units, self.tables), len(self.arcs) - 1, len(self.to), len(self.best)
         for name, _ in self.FIELDS:
             shift = nodes if name in ("first", "last", "to") else best if name == "best_at" else 0
@@ -701,6 +707,8 @@ def sample_segmentations(
                         ],
                         names=names,
                     )
+                    del d, raw
+                give_back()
         s.forget()
         give_back()
 
