@@ -45,7 +45,7 @@ def _number(word: bytes) -> int:
 
 class _Numbers(dict):
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = n = _number(word)
         return n

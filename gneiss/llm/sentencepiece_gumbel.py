@@ -476,6 +476,7 @@ class GumbelSampler:
                 begins.setdefault(h, -1)
             begins[h] = i
         self.tables = _Tables(begins, log_weight, -alpha * math.log(2 + sp.get_piece_size()), byte)
+        self.chars, self.memo = CHARS, MEMO
         self.index = _Index()
         self.lattices = Lattices.pool(self.tables)
         # Two characters that stand side by side in no piece are always cut apart.
@@ -544,7 +545,7 @@ class GumbelSampler:
         first, size = 0, 0
         for i, t in enumerate(texts):
             size += len(t)
-            if size > CHARS or i + 1 == len(texts):
+            if size > self.chars or i + 1 == len(texts):
                 yield first, i + 1, self._sample(texts[first : i + 1], keys[first : i + 1], k)
                 first, size = i + 1, 0
 
@@ -553,7 +554,7 @@ class GumbelSampler:
         self.index, self.lattices = _Index(), Lattices.pool(self.tables)
 
     def _sample(self, texts, keys, k) -> Drawn:
-        if len(self.lattices.to) > MEMO:
+        if len(self.lattices.to) > self.memo:
             self.forget()
         index, lattices, known = self.index, self.lattices, len(self.index)
         split = [list(map(index.__getitem__, self.units(t))) if t else [] for t in texts]
@@ -668,11 +669,14 @@ def sample_segmentations(
     alpha: float = ALPHA,
     id_col: str = "doc_id",
     text_col: str = "text",
+    chars: int = CHARS,
+    memo: int = MEMO,
 ) -> DataFrame:
     """One row per text and sample: id, sample (from 0), n_pieces, log_prob, perturbed,
     inclusion, ids_crc32 (of the ids as little-endian int32), round_trip (the ids decode to
     the text), and the piece ids themselves. The row key is the id; rows without one are keyed
-    by their text. An empty table gives no rows; other columns are not read."""
+    by their text. An empty table gives no rows; other columns are not read. ``chars`` and ``memo``
+    trade a worker's memory for time; the samples are the same."""
     key = F.when(col(id_col).isNull(), F.xxhash64(F.lit(seed), col(text_col))).otherwise(F.xxhash64(F.lit(seed), col(id_col)))
     src = df.filter(col(text_col).isNotNull()).select(col(id_col).alias("i"), col(text_col).alias("t"), key.alias("k"))
     fields = [
@@ -690,6 +694,7 @@ def sample_segmentations(
 
     def run(batches):
         s = sampler_of(model, alpha)
+        s.chars, s.memo = chars, memo
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
