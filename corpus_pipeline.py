@@ -58,7 +58,8 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of what is left, piece ids included; null texts have none."""
-    return sentencepiece_gumbel.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"))
+    # The workers have served four other operators, so this one takes less memory than by itself.
+    return sentencepiece_gumbel.sample_segmentations(docs, tokenizer_path("piece_bpe_32k.model"), chars=40_000, memo=400_000)
 
 
 STAGES = [
