@@ -105,6 +105,12 @@ class _Pool:
         self.used[name] = n + len(values)
         return room[: self.used[name]]
 
+    def keep(self, name: str, values: np.ndarray) -> np.ndarray:
+        """These values, of those held, alone."""
+        self.room[name][: len(values)] = values
+        self.used[name] = len(values)
+        return self.room[name][: len(values)]
+
 
 class Lattices:
     """The lattices of a list of units, as flat arrays.
@@ -152,41 +158,43 @@ class Lattices:
         counts[node] = many
         self.arcs = np.append(0, np.cumsum(counts))
         n_arcs = int(self.arcs[-1])
-        start, self.to, self.piece = np.zeros(n_arcs, np.int64), np.zeros(n_arcs, np.int64), np.zeros(n_arcs, np.int64)
+        begin, rank, self.to, self.piece = (np.zeros(n_arcs, np.int64) for _ in range(4))
         for s, e, p, t in zip(starts, ends, pieces, turns, strict=True):
-            where = self.arcs[node[s]] + t
-            start[where], self.to[where], self.piece[where] = s, e, p
+            here = node[s]
+            where = self.arcs[here] + t
+            begin[where], rank[where], self.to[where], self.piece[where] = here, left[s], e, p
         weight = tables.log_weight[np.maximum(self.piece, 0)]  # byte pieces have theirs, too
         for i in np.flatnonzero(self.piece < 0).tolist():
             weight[i] = tables.byte_log * len(tables.bytes_of(int(self.piece[i])))
         self.prob, self.other, best_log, best_arc = np.zeros(n_arcs), np.zeros(nodes), np.zeros(nodes), np.zeros(nodes, np.int64)
         # Log masses from each position to its unit's end, the nearest positions first.
         mass = np.zeros(nodes)
-        rank = left[start]
         far = int(rank.max()) if n_arcs else 0
         by = np.argsort(rank.astype(np.uint16) if far < 1 << 16 else rank, kind="stable")
         cuts = np.append(0, np.cumsum(np.bincount(rank, minlength=far + 1)))[1:]
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            arcs = by[lo:hi]
-            here, there = node[start[arcs]], self.to[arcs]
-            x = weight[arcs] + mass[there]
-            head = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
-            runs = np.diff(np.append(head, len(x)))
-            owner = np.repeat(np.arange(len(head)), runs)
+        # All in that order: the arcs, where those of each node begin, and the node's turn.
+        begin, to, weight, prob = begin[by], self.to[by], weight[by], np.zeros(n_arcs)
+        change = np.append(True, begin[1:] != begin[:-1])[:n_arcs]
+        heads = np.flatnonzero(change)
+        turn, at_node, edges = np.cumsum(change) - 1, begin[heads], np.searchsorted(heads, cuts)
+        for lo, hi, x0, x1 in zip(cuts[:-1].tolist(), cuts[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            there, head, owner, at = to[lo:hi], heads[x0:x1] - lo, turn[lo:hi] - x0, at_node[x0:x1]
+            x = weight[lo:hi] + mass[there]
             top = np.maximum.reduceat(x, head)
             p = np.exp(x - top[owner])
             whole = np.add.reduceat(p, head)
             p /= whole[owner]
-            at = here[head]
             mass[at] = top + np.log(whole)
-            self.prob[arcs] = p
+            prob[lo:hi] = p
             path = np.log(np.maximum(p, 1e-300)) + best_log[there]
             likeliest = np.maximum.reduceat(path, head)
             fits = np.flatnonzero(path == likeliest[owner])
-            fits = fits[np.append(True, owner[fits][1:] != owner[fits][:-1])]
-            best_log[at], best_arc[at] = likeliest, arcs[fits]
+            if len(fits) > len(head):
+                fits = fits[np.append(True, owner[fits][1:] != owner[fits][:-1])]
+            best_log[at], best_arc[at] = likeliest, by[fits + lo]
             p[fits] *= self.other[there[fits]]
             self.other[at] = np.add.reduceat(p, head)
+        self.prob[by] = prob
         # The likeliest path's arc comes first.
         swap = np.flatnonzero((counts > 1) & (best_arc != self.arcs[:-1]))
         x, y = self.arcs[swap], best_arc[swap]
@@ -232,6 +240,25 @@ class Lattices:
             setattr(self, name, self.pooled.append(name, getattr(new, name) + shift if shift else getattr(new, name)))
         self.arcs = self.pooled.append("arcs", new.arcs[1:] + arcs)
 
+    def arcs_of(self) -> np.ndarray:
+        """How many arcs each unit has."""
+        return self.arcs[self.last] - self.arcs[self.first]
+
+    def keep(self, units: np.ndarray) -> None:
+        """Drops all units of the pool but some, which are numbered anew in their order."""
+        first, size, best_len = self.first[units], (self.last - self.first)[units] + 1, self.best_len[units]
+        many, begin = self.arcs_of()[units], np.cumsum(size) - size
+        nodes = np.repeat(first - begin, size) + np.arange(int(size.sum()))
+        arcs = np.repeat(self.arcs[first] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        best = np.repeat(self.best_at[units] - (np.cumsum(best_len) - best_len), best_len) + np.arange(int(best_len.sum()))
+        left = {
+            "first": begin, "last": begin + size - 1, "best_log": self.best_log[units], "best_at": np.cumsum(best_len) - best_len, "best_len": best_len, "best": self.best[best],
+            "to": self.to[arcs] - np.repeat(first - begin, many), "piece": self.piece[arcs], "prob": self.prob[arcs], "other": self.other[nodes],
+            "arcs": np.append(0, np.cumsum((self.arcs[1:] - self.arcs[:-1])[nodes])),
+        }
+        for name in list(left):
+            setattr(self, name, self.pooled.keep(name, left.pop(name)))
+
     def draw(self, units: np.ndarray, start: np.ndarray, place: np.ndarray):
         """A path for each unit: flat piece ids, how many each has, log probabilities, and the
         mass of the unit's other paths."""
@@ -477,8 +504,7 @@ class GumbelSampler:
             begins[h] = i
         self.tables = _Tables(begins, log_weight, -alpha * math.log(2 + sp.get_piece_size()), byte)
         self.chars, self.memo = CHARS, MEMO
-        self.index = _Index()
-        self.lattices = Lattices.pool(self.tables)
+        self.forget()
         # Two characters that stand side by side in no piece are always cut apart.
         pairs = {(ord(x) << 21) | ord(y) for p in weight for x, y in zip(p, p[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
@@ -551,16 +577,29 @@ class GumbelSampler:
 
     def forget(self) -> None:
         """Drops the units met so far; the worker may serve other operators next."""
-        self.index, self.lattices = _Index(), Lattices.pool(self.tables)
+        self.index, self.lattices, self.uses = _Index(), Lattices.pool(self.tables), np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Keeps the units met most often, with half of the arcs that may be remembered; their
+        counts are halved, so that units of past texts make way."""
+        arcs = self.lattices.arcs_of()
+        order = np.argsort(-self.uses[: len(arcs)], kind="stable")
+        stay = np.sort(order[np.cumsum(arcs[order]) <= self.memo // 2])
+        names = list(self.index)
+        self.index = _Index(zip([names[i] for i in stay.tolist()], range(len(stay)), strict=True))
+        self.lattices.keep(stay)
+        self.uses = self.uses[stay] // 2
 
     def _sample(self, texts, keys, k) -> Drawn:
         if len(self.lattices.to) > self.memo:
-            self.forget()
+            self.shrink()
         index, lattices, known = self.index, self.lattices, len(self.index)
-        split = [list(map(index.__getitem__, self.units(t))) if t else [] for t in texts]
+        split = [np.array(list(map(index.__getitem__, self.units(t))) if t else [], np.int64) for t in texts]
         if len(index) > known:
             lattices.add(list(itertools.islice(index, known, None)))
-        all_texts = [_Text(np.array(u, np.int64), key) for u, key in zip(split, keys, strict=True)]
+            self.uses = np.append(self.uses, np.zeros(len(index) - known, np.int64))
+        self.uses += np.bincount(np.concatenate(split), minlength=len(index))
+        all_texts = [_Text(u, key) for u, key in zip(split, keys, strict=True)]
         while jobs := [(t, job) for t in all_texts if len(t.units) and (job := t.pop(k))]:
             self._open(jobs, k)
         rows = [(n, s, t, p) for n, t in enumerate(all_texts) for s, p in enumerate(t.out)]

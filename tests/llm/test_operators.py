@@ -426,6 +426,21 @@ def test_samples_are_distinct_repeatable_and_decode(sampler):
     assert set(few) >= {tuple(r[0].tolist()) for r in got} >= {x for x, p in few.items() if p > 1e-9} and {r[3] for r in got} == {1.0}
 
 
+def test_a_full_memory_keeps_the_frequent_units():
+    rng, path = random.Random(11), tokenizer_path("piece_bpe_32k.model")
+    common = " ".join(f"common{chr(97 + i)} word" for i in range(20))
+    rare = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(9))
+    texts = [" ".join([common, *(rare() for _ in range(40))]) for _ in range(60)] + ["", "a"]
+    wide, tight = sentencepiece_gumbel.GumbelSampler(path), sentencepiece_gumbel.GumbelSampler(path)
+    wide.chars, tight.chars, tight.memo = 1_000_000, 500, 6_000
+    built, add = collections.Counter(), tight.lattices.add
+    tight.lattices.add = lambda units: (built.update(units), add(units))[1]
+    want, got = (s.sample(texts, list(range(len(texts)))) for s in (wide, tight))
+    assert all(len(x) == len(y) and all(p[0].tolist() == q[0].tolist() and np.allclose(p[1:], q[1:]) for p, q in zip(x, y)) for x, y in zip(want, got))
+    assert built["▁word"] == 1 and len(built) > 1500  # the memory was full several times
+    assert len(tight.index) < 1500
+
+
 def test_segmentation_rows(spark):
     df = docs(spark, odd_texts(random.Random(10)), extra=("sample", "ids"))
     out = sentencepiece_gumbel.sample_segmentations(df, tokenizer_path("piece_bpe_32k.model"), k=2)
