@@ -483,9 +483,8 @@ class GumbelSampler:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in weight):
             raise ValueError("the vocabulary has pieces that cross into a word mark")
         self.surface = surface
-        self.spelling = np.frombuffer(b"".join(surface), np.uint8)
+        self.spelling = pa.array(surface, pa.large_binary())
         self.spell_len = np.fromiter(map(len, surface), np.int64, len(surface))
-        self.spell_at = np.cumsum(self.spell_len) - self.spell_len
         log_weight = np.zeros(sp.get_piece_size())
         for i in weight.values():
             log_weight[i] = -alpha * math.log(2 - sp.get_score(i))
@@ -538,16 +537,16 @@ class GumbelSampler:
         out = b"".join(self.surface[i] for i in ids)
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "surrogatepass")
 
-    def spell(self, ids: np.ndarray) -> np.ndarray:
+    def spell(self, ids: np.ndarray) -> bytes:
         """The bytes that flat ids spell."""
-        size = self.spell_len[ids]
-        return self.spelling[np.repeat(self.spell_at[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        _, edges, data = self.spelling.take(pa.array(ids)).buffers()
+        return data[: int(np.frombuffer(edges, np.int64)[len(ids)])].to_pybytes() if len(ids) else b""
 
     def round_trips(self, texts: list[str], drawn: Drawn) -> np.ndarray:
         """Whether each sample decodes to its text."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         want = [raw[i] and b" " + raw[i] for i in drawn.text.tolist()]
-        got = self.spell(drawn.ids).tobytes()
+        got = self.spell(drawn.ids)
         if got == b"".join(want):
             size = np.add.reduceat(np.append(self.spell_len[drawn.ids], 0), np.cumsum(drawn.lens) - drawn.lens) * (drawn.lens > 0) if len(want) else np.zeros(0)
             if (size == np.fromiter(map(len, want), np.int64, len(want))).all():
